@@ -1,3 +1,8 @@
 """Queries by name; each takes the session and the folder of the tables."""
 
-QUERIES = {}
+from corpuskit.operators import timestamps
+
+QUERIES = {
+    "p3_found": timestamps.p3_found,
+    "p3_normalised": timestamps.p3_normalised,
+}
