@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import consensus, ranking, splits
+from corpuskit.llm import consensus, ranking, residue, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -12,4 +12,9 @@ QUERIES = {
     "p5_consensus": consensus.p5_consensus,
     "p7_found": ranking.p7_found,
     "p7_ranking": ranking.p7_ranking,
+    "p8_ids": tokens.p8_ids,
+    "p8_roundtrip": tokens.p8_roundtrip,
+    "p10_found": residue.p10_found,
+    "p10_kept": residue.p10_kept,
+    "p10_kinds": residue.p10_kinds,
 }
