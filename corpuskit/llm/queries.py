@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import consensus, ranking, residue, splits, tokens
+from corpuskit.llm import consensus, lookalike, ranking, residue, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -10,6 +10,9 @@ QUERIES = {
     "p5_found": consensus.p5_found,
     "p5_annotators": consensus.p5_annotators,
     "p5_consensus": consensus.p5_consensus,
+    "p6_found": lookalike.p6_found,
+    "p6_classes": lookalike.p6_classes,
+    "p6_normalised": lookalike.p6_normalised,
     "p7_found": ranking.p7_found,
     "p7_ranking": ranking.p7_ranking,
     "p8_ids": tokens.p8_ids,
