@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import consensus, lookalike, ranking, residue, splits, tokens
+from corpuskit.llm import consensus, lookalike, mojibake, ranking, residue, sentences, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
     "p1_splits": splits.p1_splits,
+    "p2_found": mojibake.p2_found,
+    "p2_restored": mojibake.p2_restored,
+    "p4_found": sentences.p4_found,
+    "p4_sentences": sentences.p4_sentences,
     "p5_found": consensus.p5_found,
     "p5_annotators": consensus.p5_annotators,
     "p5_consensus": consensus.p5_consensus,
