@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import consensus, lookalike, mojibake, ranking, residue, sentences, splits, tokens
+from corpuskit.llm import consensus, lookalike, mixing, mojibake, ranking, residue, sentences, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -21,6 +21,8 @@ QUERIES = {
     "p7_ranking": ranking.p7_ranking,
     "p8_ids": tokens.p8_ids,
     "p8_roundtrip": tokens.p8_roundtrip,
+    "p9_selection": mixing.p9_selection,
+    "p9_shares": mixing.p9_shares,
     "p10_found": residue.p10_found,
     "p10_kept": residue.p10_kept,
     "p10_kinds": residue.p10_kinds,
