@@ -1,3 +1,5 @@
 """For each query that SQL can express, the SQL it is checked against."""
 
-ORACLE: dict[str, str] = {}
+from corpuskit.plans import text, vectors
+
+ORACLE: dict[str, str] = {**text.ORACLE, **vectors.ORACLE}
