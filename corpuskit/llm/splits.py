@@ -1,100 +1,17 @@
 """Problem 1: splits that keep related records together.
 
-Ties are found by union-find in forests: every task joins the keys of its own rows
-(no shuffle), then the roots that one key has in several forests are linked, and
-those links form the next, smaller graph. Levels are merged until no key has two
-roots. Only links between roots are ever regrouped, never the members of a root,
-so a key shared by a third of all rows costs one link per task.
+Ties are found by the union-find forests of ``operators.components``; the tied sets are then
+dealt to the splits, largest first, by a greedy that needs the distribution of sizes alone.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from corpuskit.operators.components import components, node_name
 from corpuskit.operators.lineage import attach_by_key, clean_key, cut, read_table
 
 SPLITS = ("train", "validation", "test")
-#: Links that one union-find task of a higher level takes on average.
-LINKS_PER_TASK = 1_000_000
-
-
-def _forest(batches):
-    """Union-find over the ``keys`` arrays of one partition: (node, root), root least."""
-    ids: dict[str, int] = {}
-    names: list[str] = []
-    parent: list[int] = []
-
-    def node(name: str) -> int:
-        i = ids.get(name)
-        if i is None:
-            i = ids[name] = len(names)
-            names.append(name)
-            parent.append(i)
-        return i
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for batch in batches:
-        for keys in batch.column(0).to_pylist():
-            if not keys:
-                continue
-            a = find(node(keys[0]))
-            for other in keys[1:]:
-                b = find(node(other))
-                if a == b:
-                    continue
-                if names[a] > names[b]:
-                    a, b = b, a
-                parent[b] = a
-    step = 50_000
-    for at in range(0, len(names), step):
-        part = range(at, min(at + step, len(names)))
-        yield pa.record_batch(
-            [pa.array([names[i] for i in part]), pa.array([names[find(i)] for i in part])],
-            names=["node", "root"],
-        )
-
-
-def _level(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Forests of the partitions of ``keys``: the least root of each node, and the links
-    between the roots that share a node."""
-    forest = keys.mapInArrow(_forest, "node string, root string")
-    roots = cut(forest.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")))
-    links = (
-        roots.filter(F.size("roots") > 1)
-        .select("root", F.explode("roots").alias("other"))
-        .filter("root <> other")
-        .distinct()
-    )
-    return roots.select("node", "root"), links
-
-
-def components(keys: DataFrame) -> DataFrame:
-    """(node, root) for an array column ``keys`` whose members are tied.
-
-    Nulls inside an array must be removed before. Root is the least name of the
-    component. Names should begin with a hash, so that the least name of a
-    neighbourhood is a random one and each level leaves a fraction of the nodes.
-    """
-    level, links = _level(keys.select("keys"))
-    levels = [level]
-    links = cut(links)
-    while n := links.count():
-        tasks = max(1, n // LINKS_PER_TASK)
-        parts = links.repartition(tasks, "root").select(F.array("root", "other").alias("keys"))
-        level, links = _level(parts)
-        levels.append(level)
-        links = cut(links)
-    out = levels.pop()
-    while levels:
-        above = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        out = levels.pop().join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return out
 
 
 def canonical_split(c) -> F.Column:
@@ -115,15 +32,11 @@ def tied_sets(comparisons: DataFrame) -> DataFrame:
     their keys tie all of these.
     """
 
-    def key(kind: str, name: str):
-        k = clean_key(name) if kind != "c" else F.col(name)
-        named = F.concat(F.lit(kind + ":"), k)
-        return F.when(k.isNotNull(), F.concat(F.lpad(F.hex(F.xxhash64(named)), 16, "0"), named))
-
+    ties = {"group": "g", "postId": "p", "family": "f"}
     rows = comparisons.filter("comparisonId is not null").select(
         F.col("comparisonId").alias("comparisonId"),
-        key("c", "comparisonId").alias("c"),
-        F.array_compact(F.array(*[key(k[0], k) for k in ("group", "postId", "family")])).alias("others"),
+        node_name("c", F.col("comparisonId")).alias("c"),
+        F.array_compact(F.array(*[node_name(kind, clean_key(k)) for k, kind in ties.items()])).alias("others"),
         canonical_split("split").alias("split"),
     )
     ids = rows.groupBy("comparisonId", "c").agg(F.collect_set("split").alias("recorded"))
@@ -202,8 +115,6 @@ def assign_splits(
         .withColumn("h", F.xxhash64(F.lit(seed), "root"))
         .withColumn("bucket", F.pmod("h", F.col("buckets")))
     )
-    from pyspark.sql import Window as W
-
     starts = hashed.groupBy("size", "bucket").count()
     starts = starts.withColumn(
         "start",
