@@ -72,12 +72,11 @@ def knn_scores(scores: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
 def bm25(docs_terms: DataFrame, query_terms: DataFrame, n_docs: int, k1: float = 1.2, b: float = 0.7) -> DataFrame:
     """(query, id, score) by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5))."""
     length = docs_terms.groupBy("id").agg(F.sum("tf").alias("len"))
-    mean = length.agg(F.avg("len").alias("avg_len"))
+    mean = length.agg(F.avg("len")).first()[0] or 1.0
     df = docs_terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # One row of the mean length.
-    index = docs_terms.join(idf, "term").join(length, "id").join(F.broadcast(mean)).select("id", "term", weight.alias("w"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    index = docs_terms.join(idf, "term").join(length, "id").select("id", "term", weight.alias("w"))
     return query_terms.join(index, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
 
 

@@ -1,9 +1,11 @@
 """Queries by name; each takes the session and the folder of the tables."""
 
 from corpuskit.operators import timestamps
-from corpuskit.plans import text, vectors
+from corpuskit.plans import features, relational, text, vectors
 
 QUERIES = {
+    **features.QUERIES,
+    **relational.QUERIES,
     **text.QUERIES,
     **vectors.QUERIES,
     "p3_found": timestamps.p3_found,

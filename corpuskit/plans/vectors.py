@@ -94,8 +94,8 @@ def ngram_lm_score(spark, d):
     grams = cut(grams)
     model = grams.filter(~F.col("g").rlike("^[一-龠々]+$")).groupBy("g").agg(F.sum("k").alias("c"))
     model = cut(model)
-    t = model.agg(F.sum("c").alias("total"), F.count("*").alias("vocab"))
-    s = grams.join(model, "g", "left").join(F.broadcast(t)).withColumn("s", F.col("k") * (F.log(F.coalesce("c", F.lit(0)) + 1.0) - F.log(F.col("total") + F.col("vocab"))))
+    total, vocab = model.agg(F.sum("c"), F.count("*")).first()
+    s = grams.join(model, "g", "left").withColumn("s", F.col("k") * (F.log(F.coalesce("c", F.lit(0)) + 1.0) - F.log(F.lit(float((total or 0) + vocab) or 1.0))))
     return s.groupBy("doc_id").agg(F.round(F.sum("s") / F.sum("k"), 5).alias("score"))
 
 
