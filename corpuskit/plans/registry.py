@@ -1,9 +1,10 @@
 """Queries by name; each takes the session and the folder of the tables."""
 
 from corpuskit.operators import timestamps
-from corpuskit.plans import features, relational, text, vectors
+from corpuskit.plans import advanced, features, relational, text, vectors
 
 QUERIES = {
+    **advanced.QUERIES,
     **features.QUERIES,
     **relational.QUERIES,
     **text.QUERIES,
