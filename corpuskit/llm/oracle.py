@@ -1,3 +1,13 @@
-"""SQL for those training-data queries that SQL can express."""
+"""SQL for those training-data queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others are tested against brute force, round trips or held-out accuracy in tests/llm.
+"""
+
+_KEY = r"nullif(lower(regexp_replace({0}, '^[\s\x{{3000}}\x{{00a0}}]+|[\s\x{{3000}}\x{{00a0}}]+$', '', 'g')), '')"
+
+ORACLE: dict[str, str] = {
+    "p1_found": "with recursive e as (select distinct comparisonId as c, unnest(list_filter(['g' || " + _KEY.format('"group"') + ", 'p' || " + _KEY.format("postId") + ", 'f' || " + _KEY.format("family")
+    + "], lambda x: x is not null)) as k from comparisons where comparisonId is not null), r(c, d) as (select distinct comparisonId, comparisonId from comparisons where comparisonId is not null union select r.c, b.c from r join e a on a.c = r.d join e b on b.k = a.k), s as (select distinct comparisonId, case when "
+    + _KEY.format("split") + " in ('train', 'training', 'trn') then 'train' when " + _KEY.format("split") + " in ('validation', 'valid', 'validate', 'val', 'dev', 'development') then 'validation' when " + _KEY.format("split")
+    + " in ('test', 'tests', 'testing', 'tst') then 'test' end as s from comparisons) select r.c as comparisonId from r join s on s.comparisonId = r.d group by r.c having count(distinct s.s) > 1",
+}
