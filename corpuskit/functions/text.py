@@ -111,13 +111,9 @@ def masked(c: Column, view: str = "raw") -> Column:
 def script_shape(c: Column) -> Column:
     """Each character as its script: h hiragana, k katakana, q half-width kana, H ideograph,
     D digit, A other letter; all else stays."""
-    for pattern, sign in (("[ァ-ヺ]", "k"), ("[ぁ-ゖ]", "h")):
-        c = F.regexp_replace(c, pattern, {"k": "", "h": ""}[sign])
-    c = F.regexp_replace(c, "[ｦ-ﾟ]", "")
-    c = F.regexp_replace(c, "[一-龯々]", "")
-    c = F.regexp_replace(c, r"\p{Nd}", "")
-    c = F.regexp_replace(c, r"\p{L}", "A")
-    return F.translate(c, "", "khqHD")
+    # Signs in a private range first, so that no letter put in is taken for one of the text.
+    signs = {"[ァ-ヺ]": "\ue000", "[ぁ-ゖ]": "\ue001", "[ｦ-ﾟ]": "\ue002", "[一-龯々]": "\ue003", r"\p{Nd}": "\ue004", r"\p{L}": "A"}
+    return F.translate(cascade(c, list(signs.items())), "\ue000\ue001\ue002\ue003\ue004", "khqHD")
 
 
 def structure(c: Column) -> Column:

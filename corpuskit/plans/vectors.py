@@ -125,7 +125,7 @@ def _emb_scores(spark, d, k):
     queries = e.filter("vec_id % 50 = 0").orderBy("vec_id")
     n_dims = e.select(F.size("embedding")).first()
     if n_dims is None:
-        return spark.createDataFrame([], "query long, id long, score double, query_label int, label int")
+        return spark.createDataFrame([], "query long, id long, score double, query_label int, label int, rank int")
     # Query blocks of at most 64 MB are broadcast one after the other.
     block = max(1, 64_000_000 // (8 * n_dims[0]))
     rows = queries.select("vec_id", "embedding", "label").toLocalIterator()
