@@ -74,6 +74,45 @@ def projected(rows: DataFrame, key: str, column: str, k: int = 3) -> DataFrame:
     return out.select("key", "component", (F.col("value") * F.element_at(sign, F.col("component") + 1)).alias("value"), F.element_at(part, F.col("component") + 1).alias("share"))
 
 
+def truncated_svd(rows: DataFrame, key: str, column: str, k: int, most: int = 4_096) -> DataFrame:
+    """(key, component, value): rows by their ``k`` largest singular directions, at unit length.
+
+    The product of the matrix with itself is summed over all rows; it has the square of the
+    dimension, which may be ``most`` at the most, and is solved on the driver."""
+    import pyarrow as pa
+
+    first = rows.filter(F.col(column).isNotNull()).select(F.size(column)).first()
+    n = first[0] if first else 0
+    if n > most:
+        raise ValueError(f"{n} columns; hash them to {most} first")
+    if not n:
+        return rows.sparkSession.createDataFrame([], "key long, component int, value double")
+    values = rows.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x"))
+
+    def gram(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            m = b.column(1).flatten().to_numpy().reshape(-1, n)
+            total += m.T @ m
+        yield pa.record_batch([pa.array(np.arange(n, dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
+
+    total = np.zeros((n, n))
+    for r in values.mapInArrow(gram, "i int, row array<double>").toLocalIterator():
+        total[r.i] += r.row
+    _, vectors = np.linalg.eigh(total)
+    basis = vectors[:, ::-1][:, :k]
+    basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)
+
+    def project(batches):
+        for b in batches:
+            y = b.column(1).flatten().to_numpy().reshape(-1, n) @ basis
+            y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+            at = np.arange(y.shape[1], dtype=np.int32)
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), len(at))), pa.array(np.tile(at, len(y))), pa.array(y.ravel())], names=["key", "component", "value"])
+
+    return values.mapInArrow(project, "key long, component int, value double")
+
+
 def preference_model(pairs: DataFrame, penalty: float = 1.0):
     """Logistic regression without intercept on (difference array, won): each pair enters
     with both signs, so no side is favoured; ``penalty`` is the weight of the squared norm."""

@@ -58,6 +58,32 @@ def capped(rows: DataFrame, caps: list[tuple[str, int]], hashed: Column) -> Data
     return out.drop("_h")
 
 
+def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, root) of ``edges`` (node, head), a forest: each node's last head. Heads are
+    doubled in each round, so a chain of n takes about log n; nodes of a cycle are left out."""
+    at = cut(edges.select("node", F.col("head").alias("root")).filter("node is not null and head is not null and node <> head"))
+    for _ in range(rounds):
+        up = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        new = cut(at.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        at, open_ = new.select("node", "root"), new.filter("moved").limit(1).count()
+        if not open_:
+            return at
+    # What still moves is on a cycle.
+    return at.join(at.select(F.col("node").alias("root")), "root", "left_anti").select("node", "root")
+
+
+def fronts(rows: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """``rows`` of the first ``depth`` skylines with the number of theirs, from 0."""
+    out, rest = None, rows
+    for level in range(depth):
+        front = cut(skyline(rest, keys).withColumn("front", F.lit(level)))
+        out = front if out is None else out.unionByName(front)
+        rest = cut(rest.join(front.select(*keys).distinct(), keys, "left_anti"))
+        if rest.isEmpty():
+            break
+    return out
+
+
 def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that no other row equals or exceeds in all of ``keys`` and exceeds in one.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corpuskit.operators.components import components, node_name
 from corpuskit.operators.lineage import cut
 
 
@@ -80,20 +81,20 @@ def bm25(docs_terms: DataFrame, query_terms: DataFrame, n_docs: int, k1: float =
     return query_terms.join(index, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
 
 
-def shingle_classes(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, n_links): near duplicates by Jaccard similarity of word shingles.
+def shingle_links(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Near duplicates by Jaccard similarity of word shingles: (id, key) of each text, one
+    representative (key, copies, s) for each set of shingles, and the links (key, other,
+    copies, other_copies) between representatives at or above the threshold.
 
-    Exact: copies of one shingle set are one representative; representatives meet on their
-    prefix shingles, rarest first, of which any pair at or above the threshold shares one,
-    and only if their sizes allow it; every meeting pair is verified on the full sets.
-    ``n_links`` counts the documents at or above the threshold, copies included. Texts
-    shorter than ``n`` words are one shingle; texts without words have no row.
+    Exact: representatives meet on their prefix shingles, rarest first, of which any pair at
+    or above the threshold shares one, and only if their sizes allow it; every meeting pair
+    is verified on the full sets. Texts shorter than ``n`` words are one shingle; texts
+    without words have no row.
     """
     size = F.size(tokens)
     grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).when(size > 0, F.array(F.array_join(tokens, " ")))
     sets = docs.select(F.col(doc_id).alias("id"), F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("s")).filter("s is not null")
-    sets = sets.withColumn("key", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256))
-    sets = cut(sets)
+    sets = cut(sets.withColumn("key", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)))
     reps = cut(sets.groupBy("key").agg(F.count("*").alias("copies"), F.first("s").alias("s")))
     spread = reps.select("key", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = spread.groupBy("g").agg(F.count("*").alias("df"))
@@ -107,13 +108,26 @@ def shingle_classes(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, th
     a, b = reps.select("key", F.col("s").alias("a"), "copies"), reps.select(F.col("key").alias("other"), F.col("s").alias("b"), F.col("copies").alias("other_copies"))
     both = F.size(F.array_intersect("a", "b"))
     links = pairs.join(a, "key").join(b, "other").filter(both / (F.size("a") + F.size("b") - both) >= threshold).select("key", "other", "copies", "other_copies")
-    links = cut(links)
-    from corpuskit.operators.components import components, node_name
+    return sets.select("id", "key"), reps, cut(links)
+
 
+def shingle_classes(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, class_key, n_links): near-duplicate classes, the components of ``shingle_links``;
+    ``n_links`` counts the documents at or above the threshold, copies included."""
+    sets, reps, links = shingle_links(docs, doc_id, tokens, n, threshold)
     ends = links.select(node_name("k", F.col("key")).alias("x"), node_name("k", F.col("other")).alias("y"))
     roots = components(ends.select(F.array("x", "y").alias("keys"))).select(F.substring("node", 19, 64).alias("key"), F.substring("root", 19, 64).alias("root"))
     degree = links.select("key", F.col("other_copies").alias("n")).union(links.select("other", "copies")).groupBy("key").agg(F.sum("n").alias("linked"))
     known = reps.select("key", "copies").join(roots, "key", "left").join(degree, "key", "left")
-    return sets.select("id", "key").join(known, "key").select(
-        "id", F.coalesce("root", "key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
-    )
+    return sets.join(known, "key").select("id", F.coalesce("root", "key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+
+def without_near_matches(docs: DataFrame, doc_id: str, tokens: Column, held_out: Column, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id) of the held-out texts that no other text is similar to at the threshold; texts
+    without words are similar to none. ``held_out`` is a condition on the id."""
+    sets, _, links = shingle_links(docs, doc_id, tokens, n, threshold)
+    held = docs.select(F.col(doc_id).alias("id")).filter(held_out).distinct()
+    train = sets.filter(~held_out).select("key").distinct()
+    near = links.select("key", "other").union(links.select("other", "key"))
+    bad = train.union(near.join(train.select(F.col("key").alias("other")), "other", "left_semi").select("key")).distinct()
+    return held.join(sets.filter(held_out).join(bad, "key", "left_semi").select("id").distinct(), "id", "left_anti")

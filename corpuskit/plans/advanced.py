@@ -83,6 +83,18 @@ def pca_project(spark, d):
     return M.projected(e, "vec_id", "embedding", 3)
 
 
+def svd_project(spark, d):
+    return M.truncated_svd(read_table(spark, d, "embeddings"), "vec_id", "embedding", 4).withColumn("value", F.round("value", 6))
+
+
+def pareto_fronts(spark, d):
+    """The first three fronts of parts by size and price."""
+    from corpuskit.operators.ordered import fronts
+
+    p = read_table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return fronts(p, ["p_size", "p_retailprice"], 3).select("p_partkey", "front")
+
+
 def mmr_select(spark, d):
     from corpuskit.plans.vectors import _emb_scores
 
@@ -127,11 +139,12 @@ def sliding_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        nfkc_search_key, outside_quote_measures, protected_missing, quantity_table, lcs_edits, indel_similarity, levenshtein_distance, dictionary_rewrite, novelty_classes, kmeans_scan, pca_project, mmr_select,
+        nfkc_search_key, outside_quote_measures, protected_missing, quantity_table, lcs_edits, indel_similarity, levenshtein_distance, dictionary_rewrite, novelty_classes, kmeans_scan, pca_project, svd_project, pareto_fronts, mmr_select,
         preference_weights, bootstrap_interval, snapshot_manifest, session_windows, sliding_counts,
     )
 }
 ORACLE = {
+    "pareto_fronts": "with p as (select p_partkey, p_size as a, p_retailprice as b from part), f0 as (select * from p x where not exists (select 1 from p y where y.a >= x.a and y.b >= x.b and (y.a > x.a or y.b > x.b))), r1 as (select * from p where p_partkey not in (select p_partkey from f0)), f1 as (select * from r1 x where not exists (select 1 from r1 y where y.a >= x.a and y.b >= x.b and (y.a > x.a or y.b > x.b))), r2 as (select * from r1 where p_partkey not in (select p_partkey from f1)), f2 as (select * from r2 x where not exists (select 1 from r2 y where y.a >= x.a and y.b >= x.b and (y.a > x.a or y.b > x.b))) select p_partkey, 0 as front from f0 union all select p_partkey, 1 from f1 union all select p_partkey, 2 from f2",
     "session_windows": "with e as (select *, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 30 minute then 1 else 0 end as b from events where user_id is not null and ts is not null window w as (partition by user_id order by ts)), k as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, min(ts) as begin, max(ts) + interval 30 minute as \"end\", count(*) as n_events, round(sum(value), 4) as total from k group by user_id, k",
     "sliding_counts": "select b as begin, event_type, count(*) as n from (select event_type, unnest([time_bucket(interval 5 minute, ts), time_bucket(interval 5 minute, ts) - interval 5 minute]) as b from events where ts is not null) group by 1, 2",
 }

@@ -168,10 +168,12 @@ def kwic_following(spark, d):
 
 
 def actor_carry_forward(spark, d):
-    """Lines of each thread under the last named poster, in order of response."""
+    """Lines of each thread under the last named poster, in order of response. Threads are
+    filled in ranges of a common order, as one thread may be large."""
     p = latest_rows(spark, d)
-    w = W.partitionBy("threadUrl").orderBy("r", "id").rowsBetween(W.unboundedPreceding, 0)
-    return p.select("id", F.coalesce(F.last("name", ignorenulls=True).over(w), F.lit("nobody")).alias("actor"))
+    named = F.when(F.col("name").isNotNull(), F.struct("threadUrl", "name"))
+    f = O.forward_filled(p, ["threadUrl", "r", "id"], named, "last")
+    return f.select("id", F.when(F.col("last.threadUrl") == F.col("threadUrl"), F.col("last.name")).otherwise("nobody").alias("actor"))
 
 
 def latest_rows(spark, d):

@@ -87,6 +87,12 @@ def near_dup_classes(spark, d):
     return c.join(least, "class_key").select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def leak_anti_join(spark, d):
+    """Held-out documents (id divisible by 10) that no other one is nearly the same as."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
+    return V.without_near_matches(docs, "doc_id", T.words(F.col("text")), F.col("id") % 10 == 0).select(F.col("id").alias("doc_id"))
+
+
 def ngram_lm_score(spark, d):
     """Mean log likelihood of each text's trigrams under the add-one model of all texts."""
     p = read_table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(T.marked_grams(F.col("text"), 3)).alias("g"))
@@ -192,11 +198,13 @@ _KEY = "regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf_vocab, tfidf_topk_search, centroid_classify, knn_classify, blended_rank, nn_length_matched, bm25_search, near_dup_classes, ngram_lm_score, char_ngram_model, emb_topk_cosine, emb_mrr_label,
+        tfidf_vocab, tfidf_topk_search, centroid_classify, knn_classify, blended_rank, nn_length_matched, bm25_search, near_dup_classes, leak_anti_join, ngram_lm_score, char_ngram_model, emb_topk_cosine, emb_mrr_label,
     )
 }
 _EMB = "with e as (select vec_id, label, embedding::double[] as x from embeddings), s as (select a.vec_id as query, b.vec_id as id, a.label as ql, b.label as l, round(list_cosine_similarity(a.x, b.x), 9) as score from e a, e b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by query order by score desc, id) as rank from s) "
+_JAC = r"t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') as w from documents where text is not null), g as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i+4], ' ') else array_to_string(w, ' ') end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from t where len(w) > 0)), n as (select doc_id, count(*) as n from g group by 1), p as (select a.doc_id as x, b.doc_id as y, count(*) as k from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2), l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where k / (a.n + b.n - k)::double >= 0.8)"
 ORACLE = {
+    "leak_anti_join": "with " + _JAC + " select doc_id from documents d where text is not null and doc_id % 10 = 0 and not exists (select 1 from l where x = d.doc_id and y % 10 <> 0)",
     "tfidf_vocab": _VOC + "select term, df, tf, round(idf, 6) as idf, round(importance, 5) as importance from v",
     "tfidf_topk_search": _SIM + "select query, id, round(score, 5) as score from (select *, row_number() over (partition by query order by score desc, id) as rn from s) where rn <= 5",
     "centroid_classify": _VEC[:-2] + _LAB + _CEN + ", sc as (select id, label, round(sum(vec.w * cen.w), 6) as score from vec join cen using (term) group by 1, 2), b as (select *, row_number() over (partition by id order by score desc, label) as rn from sc) select l.label as own, b.label, count(*) as n from b join l on l.id = b.id where rn = 1 group by 1, 2",
@@ -206,7 +214,7 @@ ORACLE = {
     "bm25_search": _TF + "ln as (select id, sum(tf) as len from c group by id), a as (select avg(len) as al from ln), dfs as (select term, count(*) as df from c group by term), s as (select q.id as query, c.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * c.tf * 2.2 / (c.tf + 1.2 * (0.3 + 0.7 * len / al))), 9) as score from c q join c on q.term = c.term join dfs on dfs.term = c.term join ln on ln.id = c.id, a, nd where q.id % 50 = 0 and q.id <> c.id group by 1, 2) select query, id, round(score, 4) as score from (select *, row_number() over (partition by query order by score desc, id) as rn from s) where rn <= 3",
     "ngram_lm_score": "with t as (select doc_id, '^' || " + _KEY.format("text") + " || '$' as t from documents where text is not null), g as (select doc_id, substring(t, i, 3) as g from (select doc_id, t, unnest(range(1, length(t) - 1)) as i from t)), k as (select doc_id, g, count(*) as k from g group by 1, 2), m as (select g, sum(k) as c from k where not regexp_matches(g, '^[一-龠々]+$') group by g), z as (select sum(c) as total, count(*) as vocab from m) select doc_id, round(sum(k * (ln(coalesce(c, 0) + 1) - ln(total + vocab))) / sum(k), 5) as score from k left join m using (g), z group by doc_id",
     "char_ngram_model": "with t as (select '^' || " + _KEY.format("content") + " || '$' as t from posts where content is not null), g as (select s as size, substring(t, i, s) as gram from (select t, s, unnest(range(1, length(t) - s + 2)) as i from t, (values (3), (4)) z(s))), c as (select size, gram, count(*) as n from g where not regexp_matches(gram, '^[一-龠々]+$') group by 1, 2) select size, gram, n, total, vocabulary from (select *, row_number() over (partition by size order by n desc, gram) as rn, sum(n) over (partition by size) as total, count(*) over (partition by size) as vocabulary from c) where rn <= 100",
-    "near_dup_classes": r"with recursive t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') as w from documents where text is not null), g as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i+4], ' ') else array_to_string(w, ' ') end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from t where len(w) > 0)), n as (select doc_id, count(*) as n from g group by 1), p as (select a.doc_id as x, b.doc_id as y, count(*) as k from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2), l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where k / (a.n + b.n - k)::double >= 0.8), r(x, y) as (select doc_id, doc_id from n union select r.x, l.y from r join l on r.y = l.x) select r.x as doc_id, min(r.y) as class_id, (select count(*) from l where l.x = r.x) as n_links from r group by r.x",
+    "near_dup_classes": "with recursive " + _JAC + ", r(x, y) as (select doc_id, doc_id from n union select r.x, l.y from r join l on r.y = l.x) select r.x as doc_id, min(r.y) as class_id, (select count(*) from l where l.x = r.x) as n_links from r group by r.x",
     "emb_topk_cosine": _EMB + "select query, id, rank, round(score, 6) as score from r where rank <= 10",
     "emb_mrr_label": _EMB + "select count(*) as n, round(avg(coalesce(1.0 / r, 0)), 6) as mrr from (select query, min(case when l = ql then rank end) as r from r where rank <= 10 group by query)",
 }

@@ -191,3 +191,24 @@ def test_preference_model_is_symmetric(spark):
     rows = [([1.0, 0.0], True), ([-1.0, 0.2], False), ([2.0, -0.1], True), ([0.5, 0.3], True)] * 5
     w = M.preference_model(spark.createDataFrame(rows, "difference array<double>, won boolean")).coefficients
     assert w[0] > 0 and not math.isnan(w[1])
+
+
+def test_closure(spark):
+    edges = [(i, i + 1) for i in range(1, 20)] + [(50, 20), (60, 61), (61, 60), (7, None)]
+    edges = [e for e in edges if e[1] is not None]
+    got = {r.node: r.root for r in O.closure(spark.createDataFrame(edges, "node int, head int"), rounds=8).collect()}
+    assert got == {**{i: 20 for i in range(1, 20)}, 50: 20}
+
+
+def test_truncated_svd_is_that_of_the_matrix(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(30, 5)) * [5, 3, 1, 1, 1]
+    rows = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "k long, x array<double>").repartition(3)
+    got = {(r.key, r.component): r.value for r in M.truncated_svd(rows, "k", "x", 2).collect()}
+    v = np.linalg.svd(x)[2][:2].T
+    y = x @ v
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    for j in range(2):
+        mine = np.array([got[i, j] for i in range(30)])
+        assert min(np.abs(mine - y[:, j]).max(), np.abs(mine + y[:, j]).max()) < 1e-9
