@@ -44,6 +44,15 @@ def test_part_of_a_text_and_lost_characters(model):
     assert mojibake.judge_texts(["caf� owner"], model, 4.0)[0] == (True, None, None)
 
 
+def test_long_lines_take_linear_time(model):
+    import time
+
+    for text in ("x" * 200_000 + "é", "漢" * 200_000 + "ﾃｽ", "ã\x81" + "a " * 100_000, "ÃÃ" * 50_000):
+        began = time.time()
+        mojibake.judge_texts([text], model, 15.0)
+        assert time.time() - began < 20
+
+
 def test_detect_handles_nulls_repeats_and_empty(spark):
     assert mojibake.detect(spark.createDataFrame([], "id string, field string, text string")).count() == 0
     posts = spark.createDataFrame([("a", None, "t"), ("b", "", None), (None, "x", "x"), ("c", "caf�", "ok"), ("c", "caf�", "ok")], "id string, content string, threadTitle string")
