@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corpuskit.functions.text import let
 from corpuskit.operators.components import components, node_name
 from corpuskit.operators.lineage import cut
 
@@ -91,9 +92,14 @@ def shingle_links(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, thre
     is verified on the full sets. Texts shorter than ``n`` words are one shingle; texts
     without words have no row.
     """
-    size = F.size(tokens)
-    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).when(size > 0, F.array(F.array_join(tokens, " ")))
-    sets = docs.select(F.col(doc_id).alias("id"), F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("s")).filter("s is not null")
+    # Bound once: inside the function over places the words would be found anew for each.
+    grams = let(
+        tokens,
+        lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))).when(
+            F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))
+        ),
+    )
+    sets = docs.select(F.col(doc_id).alias("id"), F.array_sort(F.array_distinct(grams)).alias("s")).filter("s is not null")
     sets = cut(sets.withColumn("key", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)))
     reps = cut(sets.groupBy("key").agg(F.count("*").alias("copies"), F.first("s").alias("s")))
     spread = reps.select("key", F.size("s").alias("n"), F.explode("s").alias("g"))
