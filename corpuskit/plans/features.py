@@ -91,7 +91,7 @@ def auc_with_ties(spark, d):
     return r.select("p", "q", F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0)), 6).alias("auc"))
 
 
-def p95_nearest_rank(spark, d):
+def nearest_rank_p95(spark, d):
     e = read_table(spark, d, "events")
     return e.groupBy("event_type").agg(F.count("value").alias("n"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
 
@@ -119,7 +119,7 @@ def dice_similarity(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_features, feature_baseline, structural_features, source_profile_rollup, quantile_profile, winsor_zscore, overlapping_groups, spearman, ari_contingency, auc_with_ties, p95_nearest_rank, surface_report,
+        text_features, feature_baseline, structural_features, source_profile_rollup, quantile_profile, winsor_zscore, overlapping_groups, spearman, ari_contingency, auc_with_ties, nearest_rank_p95, surface_report,
         retained_fragments, dice_similarity,
     )
 }
@@ -155,7 +155,7 @@ ORACLE = {
     "spearman": _F + ", r as (select rank() over (order by length) + (count(*) over (partition by length) - 1) / 2.0 as ra, rank() over (order by diversity) + (count(*) over (partition by diversity) - 1) / 2.0 as rb from f) select count(*) as n, round(corr(ra, rb), 6) as rho from r",
     "ari_contingency": "with t as (select lang, case when regexp_matches(text, '[ぁ-んァ-ヴ]') then 'kana' when regexp_matches(text, '[가-힣]') then 'hangul' when regexp_matches(text, '[一-龯]') then 'han' else 'other' end as cls, count(*) as n from documents where text is not null and lang is not null group by 1, 2), z as (select (select sum(n * (n - 1) / 2) from t) as c, (select sum(n) from t) as n, (select sum(m * (m - 1) / 2) from (select sum(n) as m from t group by lang)) as a, (select sum(m * (m - 1) / 2) from (select sum(n) as m from t group by cls)) as b) select n, round((c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) as ari from z",
     "auc_with_ties": "with x as (select length(text) as n, regexp_matches(text, '[ぁ-んァ-ヴ]') as pos from documents where text is not null) select (select count(*) from x where pos) as p, (select count(*) from x where not pos) as q, round(avg(case when a.n > b.n then 1.0 when a.n = b.n then 0.5 else 0 end), 6) as auc from x a, x b where a.pos and not b.pos",
-    "p95_nearest_rank": "select event_type, count(value) as n, quantile_disc(value, 0.95) as p95 from events group by 1",
+    "nearest_rank_p95": "select event_type, count(value) as n, quantile_disc(value, 0.95) as p95 from events group by 1",
     "surface_report": "with " + _P + r" select remark, count(*) as n from (select unnest(regexp_extract_all(content, '（[^（）\n]{1,30}）')) as remark from p) group by 1 order by n desc, remark limit 40",
     "retained_fragments": "with c as (select distinct comparisonId, source, leftText, rightText, list_distinct(list_transform(range(1, greatest(length(source) - 6, 1)), lambda i: substring(source, i, 8))) as g from comparisons where source is not null and leftText is not null and rightText is not null) select distinct comparisonId, round(case when length(source) < 12 then 0 else len(list_filter(g, lambda x: contains(leftText, x))) / len(g) end, 6) as kept_left, round(case when length(source) < 12 then 0 else len(list_filter(g, lambda x: contains(rightText, x))) / len(g) end, 6) as kept_right from c",
     "dice_similarity": r"with c as (select distinct comparisonId, regexp_replace(lower(leftText), '[\p{P}\p{S}\p{Z}\p{C}]+', '', 'g') as a, regexp_replace(lower(rightText), '[\p{P}\p{S}\p{Z}\p{C}]+', '', 'g') as b from comparisons where leftText is not null and rightText is not null), g as (select comparisonId, " + _SET.format("a") + " as a, " + _SET.format("b") + " as b from c) select distinct comparisonId, round(case when len(a) + len(b) > 0 then 2 * len(list_intersect(a, b)) / (len(a) + len(b)) else 0 end, 6) as dice from g",
