@@ -53,6 +53,24 @@ def test_long_lines_take_linear_time(model):
         assert time.time() - began < 20
 
 
+def test_a_single_garbled_character_is_found_and_left_out_of_the_model(spark):
+    clean = ["The guild clerk doesn’t trust the chalk set, she said.", "昨日の深夜に黒帆の船長が灯台の屋上で鈴を拾った。", "远征归途，图书塔管理员在吊桥边把条纹披风弄丢了！", "Don’t ask; it’s the captain’s bell."] * 50
+    bad = ["The clerk doesn’t trust it.".encode().decode("cp932"), "Don’t ask the captain.".encode().decode("gb18030"), "Fine line.\n" + "She doesn’t trust it.".encode().decode("cp932")]
+    rows = [(f"c{i}", "content", t) for i, t in enumerate(clean)] + [(f"b{i}", "content", t) for i, t in enumerate(bad)]
+    got = {r.id: r.restored for r in mojibake.detect(spark.createDataFrame(rows, "id string, field string, text string")).collect()}
+    assert got == {"b0": "The clerk doesn’t trust it.", "b1": "Don’t ask the captain.", "b2": "Fine line.\nShe doesn’t trust it."}
+
+
+def test_what_any_chain_can_read_is_traced():
+    for text in ("ship 🙂 ahoy", "Привет", "“No”", "été"):
+        for wrong in ("cp932", "gb18030"):
+            bad = text.encode().decode(wrong, "ignore")
+            if any(new == text for _, new in mojibake.candidates(bad)):
+                assert mojibake.traced_lines([bad])[0], (wrong, bad)
+    assert mojibake.traced_lines(["カタカナ".encode("euc_jp").decode("cp932")])[0]
+    assert not mojibake.traced_lines(["plain text", "ｱｲ", "The naïve recruit"]).any()
+
+
 def test_detect_handles_nulls_repeats_and_empty(spark):
     assert mojibake.detect(spark.createDataFrame([], "id string, field string, text string")).count() == 0
     posts = spark.createDataFrame([("a", None, "t"), ("b", "", None), (None, "x", "x"), ("c", "caf�", "ok"), ("c", "caf�", "ok")], "id string, content string, threadTitle string")
