@@ -100,6 +100,13 @@ def test_units(spark):
         assert (None if s is None else [t[x.start : x.end] for x in s]) == want
 
 
+def test_stops_after_a_nested_pair_are_masked(spark):
+    whole = ["「彼は『うん』と言った。そして帰った」", "(see [1] now. And b)", "“He said (yes) now. Then left.”"]
+    texts = whole + [f"“A. B” c\n{t}" for t in whole]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", sentences.sentence_spans(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [texts[r.i][r.s[-1].start : r.s[-1].end] for r in got] == whole * 2
+
+
 def test_very_long_text(spark):
     text = "これは文だ。 " * 5_000
     s = spark.createDataFrame([(text,)], "t string").select(sentences.sentence_spans(F.col("t")).alias("s")).first().s
