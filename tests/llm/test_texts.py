@@ -107,6 +107,12 @@ def test_stops_after_a_nested_pair_are_masked(spark):
     assert [texts[r.i][r.s[-1].start : r.s[-1].end] for r in got] == whole * 2
 
 
+def test_abbreviations_before_other_signs_than_blanks(spark):
+    for text in ["Mr.田中が来た。", "apples, etc., and pears", "डॉ.क्वेन चुप", "(wax, etc.) and rope"]:
+        s = spark.createDataFrame([(text,)], "t string").select(sentences.sentence_spans(F.col("t")).alias("s")).first().s
+        assert [text[x.start : x.end] for x in s] == [text]
+
+
 def test_very_long_text(spark):
     text = "これは文だ。 " * 5_000
     s = spark.createDataFrame([(text,)], "t string").select(sentences.sentence_spans(F.col("t")).alias("s")).first().s
