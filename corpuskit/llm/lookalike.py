@@ -221,12 +221,16 @@ def with_folded(rows: DataFrame, text: str, out: str = "folded") -> DataFrame:
     return rows.mapInArrow(fold, schema)
 
 
-def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, id, raw, key): digests of each text of posts and sections and of its form."""
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, id, text) of posts and sections."""
     posts = read_table(spark, sf_dir, "posts").select(F.lit("posts").alias("src"), F.col("id").alias("id"), F.col("content").alias("text"))
     sections = read_table(spark, sf_dir, "sections").select(F.lit("sections").alias("src"), F.col("line").cast("string").alias("id"), "text")
-    rows = posts.unionByName(sections).filter("id is not null and text is not null")
-    return digests(rows)
+    return posts.unionByName(sections)
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, id, raw, key): digests of each text of posts and sections and of its form."""
+    return digests(_texts(spark, sf_dir).filter("id is not null and text is not null"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -275,5 +279,5 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every post's content in the consistent form."""
-    return with_folded(read_table(spark, sf_dir, "posts").select("id", "content"), "content")
+    """(src, id, folded): every post's content and every section's text in the consistent form."""
+    return with_folded(_texts(spark, sf_dir), "text").select("src", "id", "folded")

@@ -151,6 +151,13 @@ def test_pairs_against_brute_force(spark, tmp_path):
     assert links == {f"p{i}": sum(f"p{i}" in w for w in want) for i in range(10) if any(f"p{i}" in w for w in want)}
 
 
+def test_the_form_covers_posts_and_sections(spark, tmp_path):
+    spark.createDataFrame([("p", "ａ"), ("q", None)], "id string, content string").write.parquet(f"{tmp_path}/posts.parquet")
+    spark.createDataFrame([(1, "ﾊﾟ"), (2, "")], "line int, text string").write.parquet(f"{tmp_path}/sections.parquet")
+    got = {tuple(r) for r in lookalike.p6_normalised(spark, str(tmp_path)).collect()}
+    assert got == {("posts", "p", "a"), ("posts", "q", None), ("sections", "1", "パ"), ("sections", "2", "")}
+
+
 # --- problem 8
 
 
