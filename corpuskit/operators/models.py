@@ -38,16 +38,18 @@ def euclidean_silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
-def cluster_scan(rows: DataFrame, column: str, ks=range(2, 9), seeds=(1729, 29, 41), sample: int = 1_200) -> list[tuple[int, float, float]]:
-    """(k, mean silhouette, spread between seeds) of k-means; the silhouette is taken on a
-    sample of a fixed size. The fits themselves cover all rows."""
+def cluster_scan(rows: DataFrame, column: str, ks=range(2, 9), seeds=(1729, 29, 41), sample: int = 1_200, starts: int = 10) -> list[tuple[int, float, float]]:
+    """(k, mean silhouette, spread between seeds) of k-means, the best of ``starts`` fits by
+    their cost for each seed; the silhouette is taken on a sample of a fixed size. The fits
+    themselves cover all rows."""
     v = as_vectors(rows, column).select("features").cache()
     few = _silhouette_sample(v, sample).cache()
     out = []
     for k in ks:
         scores = []
         for seed in seeds:
-            model = KMeans(k=k, seed=seed, initMode="k-means||").fit(v)
+            fits = (KMeans(k=k, seed=seed + 100_003 * i, initMode="k-means||").fit(v) for i in range(starts))
+            model = min(fits, key=lambda m: m.summary.trainingCost)
             got = model.transform(few).select(vector_to_array("features").alias("x"), "prediction").toPandas()
             scores.append(euclidean_silhouette(np.array(got.x.tolist()), got.prediction.to_numpy()))
         out.append((k, float(np.mean(scores)), float(np.ptp(scores))))

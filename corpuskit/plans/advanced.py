@@ -74,7 +74,7 @@ def novelty_classes(spark, d):
 
 
 def kmeans_scan(spark, d):
-    got = M.cluster_scan(read_table(spark, d, "embeddings"), "embedding", ks=range(2, 6), seeds=(1729, 29))
+    got = M.cluster_scan(read_table(spark, d, "embeddings"), "embedding")
     return spark.createDataFrame(got, "k int, silhouette double, spread double")
 
 
@@ -119,7 +119,7 @@ def preference_weights(spark, d):
 
 def bootstrap_interval(spark, d):
     c = _pairs(spark, d).filter("leftText is not null and rightText is not null").select("comparisonId", (F.length("leftText") - F.length("rightText")).alias("delta"))
-    got = M.bootstrap_mean(c, "delta", rounds=400)
+    got = M.bootstrap_mean(c, "delta", rounds=5_000)
     return spark.createDataFrame([got] if got else [], "mean double, low double, high double")
 
 

@@ -212,3 +212,38 @@ def test_truncated_svd_is_that_of_the_matrix(spark):
     for j in range(2):
         mine = np.array([got[i, j] for i in range(30)])
         assert min(np.abs(mine - y[:, j]).max(), np.abs(mine + y[:, j]).max()) < 1e-9
+
+
+def test_cluster_scan_and_bootstrap_are_registered_whole(spark, data, monkeypatch):
+    import inspect
+
+    from corpuskit.operators import models
+    from corpuskit.plans import advanced
+
+    asked = {}
+
+    def record(name):
+        of = inspect.signature(getattr(models, name))
+
+        def call(*a, **k):
+            b = of.bind(*a, **k)
+            b.apply_defaults()
+            asked[name] = b.arguments
+
+        return call
+
+    for name in ("cluster_scan", "bootstrap_mean"):
+        monkeypatch.setattr(models, name, record(name))
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **k: None)
+    advanced.kmeans_scan(spark, data)
+    advanced.bootstrap_interval(spark, data)
+    assert [*asked["cluster_scan"]["ks"]] == [2, 3, 4, 5, 6, 7, 8] and len(asked["cluster_scan"]["seeds"]) == 3 and asked["cluster_scan"]["starts"] == 10
+    assert asked["bootstrap_mean"]["rounds"] == 5_000
+
+
+def test_cluster_scan_keeps_the_cheapest_start(spark):
+    from corpuskit.operators import models
+
+    x = spark.createDataFrame([([float(10 * (i % 3)), float(i // 3)],) for i in range(12)], "x array<double>")
+    (k, silhouette, spread), = models.cluster_scan(x, "x", ks=[3], seeds=(1,), starts=4)
+    assert k == 3 and silhouette > 0.7 and spread == 0
