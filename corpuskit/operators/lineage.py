@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. A folder of our own is set only where the
-    session names none, which is the case in local tests but not on a cluster."""
+    """The session's checkpoint folder. A folder of our own is set only where the session
+    names none and runs on one machine, as in tests; on a cluster that is an error, as other
+    machines could not read what one has written."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpuskit-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -24,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a table into the checkpoint folder and read from there.
+
+    For loops of joins: a checkpoint keeps the planner's estimate of its size, which is a
+    product over all joins so far and soon a number too long to multiply; a table has the
+    size of its files. Order and partitions are not kept."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
