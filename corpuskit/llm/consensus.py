@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.llm.votes import CHOICES, latest_answers
-from corpuskit.operators.lineage import attach_by_key, cut, read_table
+from corpuskit.operators.lineage import attach_by_key, cut, read_table, stored
 
 K = len(CHOICES)
 START, PRIOR_VOTES = 0.7, 2.0
@@ -155,18 +155,18 @@ def fit(ready: Prepared, rounds: int = 30, tolerance: float = 1e-3) -> tuple[np.
 
 def fit_joined(answers: DataFrame, rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
     """(annotator, accuracy, n) for any number of annotators, by joins alone."""
-    answers = cut(answers.withColumn("item", F.concat_ws("\u0001", "comparisonId", "dimension")))
+    answers = stored(answers.withColumn("item", F.concat_ws("\u0001", "comparisonId", "dimension")))
     tally = dict(answers.groupBy("k").count().collect())
     prior = np.array([tally.get(k, 0) + 1.0 for k in range(K)])
     prior = np.log(prior / prior.sum())
-    at = cut(answers.groupBy("annotator").agg(F.lit(START).alias("accuracy"), F.count("*").alias("n")))
+    at = stored(answers.groupBy("annotator").agg(F.lit(START).alias("accuracy"), F.count("*").alias("n")))
     for _ in range(rounds):
         new = joined_round(answers, at.select("annotator", "accuracy"), prior).select(
             "annotator",
             F.least(F.lit(0.98), F.greatest(F.lit(0.02), (F.col("right") + PRIOR_VOTES * START) / (F.col("n") + PRIOR_VOTES))).alias("accuracy"),
             "n",
         )
-        new = cut(new)
+        new = stored(new)
         moved = new.join(at.select("annotator", F.col("accuracy").alias("was")), "annotator").agg(F.max(F.abs(F.col("accuracy") - F.col("was")))).first()[0]
         at = new
         if (moved or 0) < tolerance:

@@ -132,3 +132,43 @@ def test_outcomes_of_repeated_and_odd_comparisons(spark):
     got = [tuple(r) for r in ranking.outcome_counts(spark.createDataFrame(p, ANSWER), c).collect()]
     assert got == [("S", "m", "n", 1, 0, 1)]
     assert ranking.ranking(ranking.outcome_counts(spark.createDataFrame([], ANSWER), c)).count() == 0
+
+
+def made_up_counts(items=4, seed=11):
+    rng, rows = random.Random(seed), []
+    for i in range(items):
+        for j in range(items):
+            if i != j and rng.random() < 0.8:
+                rows.append(("S", f"m{i}", f"m{j}", rng.randrange(40), rng.randrange(30), rng.randrange(12)))
+    return rows
+
+
+def test_ranking_by_joins_is_that_of_newton(spark, monkeypatch):
+    rows = made_up_counts()
+    df = spark.createDataFrame(rows, "dimension string, first string, second string, wins long, losses long, draws long")
+    want = {r.method: r for r in ranking.ranking(df).collect()}
+    monkeypatch.setattr(ranking, "DENSE_ITEMS", 3)
+    monkeypatch.setattr(ranking, "BLOCK", 3)
+    got = {r.method: r for r in ranking.ranking(df).collect()}
+    assert set(got) == set(want) and len(want) == 4
+    for m, r in got.items():
+        assert r.rank == want[m].rank and r.n_answers == want[m].n_answers
+        for k in ("strength", "error", "first_effect", "draw_effect"):
+            assert abs(r[k] - want[m][k]) < 1e-6, (m, k)
+
+
+def test_newton_takes_many_pairs_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, pairs = 300, 60_000
+    strength = rng.normal(0, 1, n)
+    a = rng.integers(0, n, pairs)
+    b = (a + rng.integers(1, n, pairs)) % n
+    p = 1 / (1 + np.exp(-(strength[a] - strength[b])))
+    wins = rng.binomial(20, p)
+    tracemalloc.start()
+    t, error, d, v = ranking.newton(a, b, np.column_stack([wins, 20 - wins, np.ones(pairs)]).astype(float), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and np.corrcoef(t, strength)[0, 1] > 0.99 and (error > 0).all()
