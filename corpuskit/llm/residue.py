@@ -1,17 +1,22 @@
 """Problem 10: template residue, filler, error pages and script notices.
 
-Two tests, both of built-in expressions over the whole text, so documents are judged where
-they are read. Placeholders are found by one grammar per delimiter, outside code and outside
-lines that explain the notation. The other kinds are judged by density: lines and phrases of
-page machinery are taken away, and a document is a case if some were found and hardly any
-letters stay. A text that mentions such a phrase in a sentence of its own keeps its letters.
+Placeholders are found by one grammar per delimiter, outside code and outside lines near an
+explanation of the notation. The other kinds are told by what a line says, not by how it is
+worded: an error joins a thing of the web with a failure, a notice joins scripts with a
+demand, filler joins a part of a text with its being provisional; a line is of a kind if
+such words make up most of it. A document is a case if hardly any letters stay when its
+lines of a kind are taken away, and with them the machinery of pages: lines that recur with
+many authors and mostly stand beside lines of a kind, which is learned from all documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuskit.operators.lineage import read_table
+from corpuskit.functions.text import let
+from corpuskit.operators.lineage import cut, read_table
 
 # Names that fields of page templates carry.
 FIELD_NAMES = (
@@ -20,7 +25,7 @@ FIELD_NAMES = (
     "本文 名前 氏名 投稿者 品名 件名 日付 時刻 題名 金額 価格 住所 会社名 電話番号"
 ).split()
 _FIELD = "(?:" + "|".join(FIELD_NAMES) + ")"
-_ID = r"[\p{L}_][\p{L}\p{N}_.]{0,40}"
+_ID = r"[\p{L}_][\p{L}\p{N}_.]*+"
 
 # One grammar per delimiter.
 PLACEHOLDERS = {
@@ -34,12 +39,14 @@ PLACEHOLDERS = {
     "at": rf"@@{_ID}@@",
     "underscore": rf"(?<![\p{{L}}\p{{N}}_])__(?:[A-Z][A-Z0-9_]*?|{_FIELD})__(?![\p{{L}}\p{{N}}_])",
     "double_bracket": rf"\[\[\s*(?:[a-z]+(?:_[a-z]+)*|{_FIELD})\s*\]\]",
-    "bracket": rf"(?<!\[)\[(?:(?i:insert |your |enter )[^\[\]\n]{{1,30}}|(?i:{_FIELD}))\](?![\](])",
+    "bracket": rf"(?<!\[)\[(?:(?i:insert |your |enter )[^\[\]\n]+|(?i:{_FIELD}))\](?![\](])",
     "index": r"(?<![\p{L}\p{N}}$#{])\{[0-9]\}(?!\})",
-    "unset": r"【[^【】\n]{1,20}未(?:設定|入力|定義)】",
-    "enter_here": r"<[^<>\n]{0,20}\s?をここに入力>|<(?i:insert|enter|your) [^<>\n]{1,30}>",
+    "unset": r"【[^【】\n]+未(?:設定|入力|定義)】",
+    "enter_here": r"<[^<>\n]*\s?をここに入力>|<(?i:insert|enter|your) [^<>\n]+>",
 }
 
+#: Lines before and after an explanation that it covers.
+WINDOW = 2
 # What a line says that explains a notation instead of leaving it unfilled.
 EXPLAINS = (
     r"と書くと|と書けば|と書いて|と入力すると|置き換わ|置換され|書式では|記法|構文|テンプレート変数"
@@ -49,112 +56,209 @@ EXPLAINS = (
 _CODE = r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)|<code>.*?</code>|<pre>.*?</pre>"
 _INLINE = r"`[^`\n]+`"
 
-# Lines of page machinery around content.
-FRAME = [
-    r"Home > Boards > Archive", r"ホーム \| 掲示板 \| 検索 \| ヘルプ", r"\[TOP\] \[一覧\] \[過去ログ\]",
-    r"\w{2,12}/[0-9.]+ at \S+ port [0-9]+", r"-- [^\n]{1,30} --", r"ref: [0-9a-f]{6,40}",
-    r"[\[(]?(?:HOME|TOP|MENU|Login|Back)[\])]?(?: [|>/] [^\n|>/]{1,20})+",
-]
-# Error messages, each a whole line.
-ERRORS = [
-    r"(?:HTTP )?[45][0-9]{2}[: ](?: )?(?:Not Found|Bad Gateway|Bad Request|Forbidden|Unauthorized|Internal Server Error|Service Unavailable|Gateway Time-?out)[^\n]{0,60}",
-    r"The requested URL \S+ was not found on this server\.", r"Warning: \w+\(\): [^\n]{1,120}", r"Bad Request: [^\n]{1,80}",
-    r"Gateway Time-?out: [^\n]{1,80}", r"Traceback \(most recent call last\):", r"File \"[^\"\n]+\", line [0-9]+, in \w+", r"\w+(?:Error|Exception): [^\n]{1,120}",
-    r"Database error", r"ERROR [0-9]+: [^\n]{1,80}", r"Access denied\. [^\n]{1,80}", r"Fatal error: [^\n]{1,120}", r"Error [0-9]{3}[: ][^\n]{1,80}",
-    r"Fehler [0-9]+: [^\n]{1,80}", r"Erreur [0-9]+ ?: [^\n]{1,80}", r"エラー[:：] ?[^\n]{1,60}", r"サーバー内部エラーが発生しました。[^\n]{0,40}",
-    r"ただいまアクセスが集中して[^\n]{1,60}", r"ページが見つかりません。[^\n]{0,60}", r"お探しのページ[^\n]{1,40}",
-    r"このスレッドは存在しないか、[^\n]{1,60}", r"抱歉，您访问的页面[^\n]{1,30}", r"요청하신 페이지[^\n]{1,30}", r"ไม่พบหน้าที่คุณต้องการ", r"स्थान नहीं मिला: [^\n]{1,60}",
-]
-# Notices that scripts are required, each a whole line.
-NOTICES = [
-    r"(?:Please |You must )?(?:enable|turn on) (?:JavaScript|scripts|scripting)[^\n]{0,80}", r"Checking your browser before [^\n]{1,60}", r"This check needs scripting\.",
-    r"noscript: [^\n]{1,100}", r"You need to have scripts and cookies on[^\n]{0,60}", r"Your browser does not support scripts[^\n]{1,100}",
-    r"このページの表示にはスクリプトの実行が必要です。[^\n]{0,60}", r"JavaScriptを有効にして[^\n]{1,60}", r"お使いのブラウザではスクリプトが[^\n]{1,40}",
-    r"请启用 ?JavaScript[^\n]{0,40}", r"Bitte aktivieren Sie JavaScript[^\n]{0,60}", r"Veuillez activer JavaScript[^\n]{0,60}",
-    r"กรุณาเปิดใช้งาน JavaScript[^\n]{0,40}", r"이 게시판을 보려면 자바스크립트를 [^\n]{1,40}", r"[^\n]{1,60}(?:requires JavaScript|JavaScript is required)\.?",
-]
-# Stand-ins for content to come and try-out entries, each a whole line.
-STAND_INS = [
-    r"工事中(?:です)?", r"準備中(?:です)?", r"（?内容未定）?", r"(?i:under construction|coming soon|tbd|tba|to be (?:announced|determined|written)|in arbeit|en construction)",
-    r"(?iu:(?:(?:test|tests|testing|ｔｅｓｔ|テスト|てすと|blah|xxx|asdf|foo|bar|qwerty)[ 　,、]*)+)",
-]
-# Filler phrases, anywhere in a line.
-FILLERS = [
-    "ここに見出しが入ります。", "サンプルの文です。", "ダミーの段落です。", "仮テキスト、仮テキスト。", "仮の文を置いています。", "本文はあとで差し替えます。",
-    "(?:テキスト){2,}。?", "このあたりに説明が入る予定です。", r"Write something about this topic\.", r"Body text to follow\.", r"Blindtext an dieser Stelle\.",
-    r"Placeholder copy for layout only\.", r"Your text goes here\.", r"Sample paragraph, replace me\.", r"Texte provisoire à remplacer\.",
-]
+def _words(spaced: str, joined: str = "", endings: str = r"[\p{IsLatin}\p{IsDevanagari}]{0,4}") -> str:
+    """A pattern for any of the words: ``spaced`` ones stand alone, but for an ending; ``joined``
+    ones, of scripts without blanks, may stand anywhere. A tilde is a blank or an apostrophe."""
+    order = lambda t: sorted((w.replace("~", "[ '’]?") for w in t.split()), key=len, reverse=True)
+    return "(?:" + "|".join([*([r"(?<![\p{L}\p{M}])(?:" + "|".join(order(spaced)) + f"){endings}" + r"(?![\p{IsLatin}\p{IsDevanagari}\p{M}])"] if spaced else []), *order(joined)]) + ")"
+
+
+# The vocabularies of the kinds, by what a word means. A word stands for all
+# that begin like it.
+THINGS = _words(
+    "page url link file document thread topic board post article site website server service request address content database connection access session browser gateway host index upstream parameter "
+    "seite server datei dokument beitrag thema dienst anfrage adresse inhalt datenbank verbindung zugriff sitzung page fichier document sujet serveur service demande requête adresse contenu base accès session connexion lien "
+    "पृष्ठ पेज सर्वर स्थान फ़ाइल अनुरोध",
+    "ページ サイト サーバ スレッド ファイル データベース アクセス リクエスト アドレス 記事 投稿 掲示板 接続 コンテンツ 画面 権限 内部 页面 网页 服务器 链接 文件 帖子 连接 数据库 请求 页 페이지 서버 요청 파일 게시 주소 연결 접속 หน้า เซิร์ฟเวอร์ ไฟล์ เว็บ คำขอ",
+)
+FAILURES = _words(
+    "not~found could~n[o']t~(?:be~)?(?:found|find|open|load|reach|connect|display|process) couldn~t can~?not can~t unable fail does~n[o']t~exist doesn~t no~longer unavailable not~available denied forbidden unauthorized blocked refused "
+    "timed~out time-?out did~not~answer did~not~respond too~many went~wrong error exception overload busy removed deleted moved missing invalid bad expired temporarily~(?:down|unavailable) try~again "
+    "nicht~gefunden nicht~erreichbar nicht~verfügbar nicht~gefunden~werden existiert~nicht verweigert gesperrt fehler fehlgeschlagen überlastet gelöscht ungültig abgelaufen "
+    "introuvable n~existe~pas indisponible inaccessible refusé interdit erreur échou échec expiré supprimé surchargé नहीं~मिल उपलब्ध~नहीं त्रुटि विफल अस्वीकृत",
+    "見つか(?:りません|らない|らず)(?:でした)? 存在し(?:ません|ない) ありません 表示(?:でき(?:ません|ない)|に失敗) 利用(?:いただけません|できません) 開けません エラー 失敗 拒否 混雑 集中 発生し 落ち 停止 つなが(?:りません|らない) 削除 移動 権限がありません 期限 無効 "
+    "不存在 找不到 未找到 无法 错误 出错 失败 拒绝 超时 已删除 已被删除 찾을~?수~?없 존재하지~?않 없습니다 오류 실패 거부 삭제 이용할~?수~?없 ไม่พบ ไม่สามารถ ข้อผิดพลาด ปฏิเสธ ล้มเหลว",
+)
+SCRIPTS = _words("java~?scripts? scripts? scripting noscript browser~check dynamic जावास्क्रिप्ट स्क्रिप्ट", "スクリプト ｽｸﾘﾌﾟﾄ ジャバスクリプト 脚本 자바스크립트 스크립트 จาวาสคริปต์ สคริปต์")
+DEMANDS = _words(
+    "enable turn activate allow switch requir need must necessary disabled turned off not~support does~n[o']t~support without loaded checking aktivier benötig erforderlich einschalten deaktiviert ausgeschaltet notwendig erlauben "
+    "activ autoris nécessaire requis désactivé besoin requiert सक्षम चालू आवश्यक",
+    "有効 必要 無効 オン オフ 許可 未対応 対応していません 動作しません 启用 开启 打开 需要 禁用 允许 支持 켜 활성화 비활성화 필요 허용 사용 เปิด ต้อง จำเป็น อนุญาต",
+)
+PARTS = _words(
+    "text copy content body paragraph sentence headline heading title caption description image article section placeholder topic blindtext mustertext fülltext platzhalter absatz überschrift beschreibung inhalt texte paragraphe titre contenu légende पाठ सामग्री शीर्षक",
+    "テキスト 本文 見出し 段落 説明 タイトル 文章 文 内容 コメント 画像 紹介 文字 文本 正文 标题 内容 段落 텍스트 본문 내용 제목 문장 문구 설명 ข้อความ เนื้อหา หัวข้อ",
+)
+PROVISIONAL = _words(
+    "sample dummy placeholder filler goes~here here to~follow follows to~come to~be~(?:added|written|replaced|inserted|determined|announced) will~(?:be|appear|follow|go|come) replace insert write type layout only later shortly soon coming example mock lorem edit~this add~your your "
+    "hier stelle folgt ersetzen einfügen blindtext platzhalter muster beispiel später ici provisoire factice exemple remplacer venir insérer saisir यहाँ नमूना उदाहरण बाद",
+    "サンプル ダミー 仮 ここ このあたり この部分 こちらに 入ります 入る 入れ 差し替え 置き換え 置い あと 後で 後日 予定 追加 記入 入力 例文 此处 这里 示例 占位 替换 待补 稍后 填写 여기 예시 샘플 임시 나중 추후 입력 ตัวอย่าง ที่นี่ ภายหลัง",
+)
+PENDING = _words(
+    "under~construction coming~soon work~in~progress to~be~(?:announced|determined|written|confirmed|continued) tbd tba tbc wip not~yet check~back stay~tuned in~(?:arbeit|kürze|bearbeitung|vorbereitung) im~aufbau demnächst en~(?:construction|travaux|préparation|cours) bientôt prochainement à~venir निर्माणाधीन जल्द",
+    "工事中 準備中 作成中 制作中 製作中 執筆中 整備中 調整中 改装中 近日 未定 公開予定 乞うご期待 しばらくお待ち 建设中 施工中 敬请期待 即将 待定 준비~?중 공사~?중 제작~?중 작성~?중 곧 미정 อยู่ระหว่าง กำลังปรับปรุง กำลังจัดทำ เร็วๆ~?นี้",
+)
+TRIALS = _words("tests? testing testpost asdf\\w*+ qwert\\w*+ foo bar blah x{3,} ｔｅｓｔ ｔｅｓｔｉｎｇ prueba essai versuch टेस्ट परीक्षण", "テスト てすと ﾃｽﾄ 测试 試驗 테스트 ทดสอบ")
+# What stands around such words and says nothing of its own.
+SMALL = _words(
+    "a an the this that these those is are was were be been it its to of in on at by for from with without and or but as if then than please sorry oops you your we our i my us can could may might will would should has have had do does did not no so before after again back go return check reload "
+    "retry refresh settings configuration minutes? seconds? moment home contact administrator admin owner webmaster site~owner more again~later some any all there here what which who when where something anything just now currently still view display show continue load loading see read visit use using properly viewed requested looking moved removed deleted "
+    "der die das den dem ein eine einen bitte um zu und oder ist sind wird werden wurde diese dieser dieses ihr ihre ihren sie es im in an auf mit von für nicht derzeit anzuzeigen angezeigt forum le la les un une des de du ce cet cette ces est sont pour et ou dans sur vous votre veuillez pas afficher fil affichage demandée? actuellement temporairement momentanément यह है हैं कृपया के को का की में और से नहीं करें",
+    "この その あの お使い ご確認 確認 再度 再読み込み もう一度 お試し 時間 設定 管理者 連絡 お探し 申し訳 ただいま 現在 ご迷惑 しばらく お待ち ください 下さい 过去 过去ログ 過去ログ 倉庫 格納 閲覧 表示 実行 读取 您 请 本 该 此 的 了 在 是 后 再 访问 查看 抱歉 对不起 重新 刷新 이 그 저 을 를 이 가 은 는 에 의 하려면 보려면 주세요 하세요 하십시오 합니다 습니다 입니다 원하신 요청하신 죄송 이용 게시판 발생 잠시 후 다시 시도 확인 กรุณา โปรด ที่ คุณ ต้องการ ใน และ ของ ได้ ใช้งาน หน้านี้ กลับ ลอง ใหม่ ขออภัย",
+    "",
+)
+# Forms that servers and programs give their messages, whatever the words.
+FORMS = (
+    r"(?:HTTP|Error|Status|Code|ERROR|Erreur|Fehler|エラー|错误|오류)?[\p{L}/.]*[ :：#]*(?<![0-9])[45][0-9]{2}(?![0-9])[ :：\-–]*\p{Lu}[\p{L}\-]+(?:[ \-]\p{Lu}[\p{L}\-]+){0,6}"
+    r"|(?:ERROR|Error|Erreur|Fehler|エラー|错误|오류|त्रुटि|HTTP)[ :：#]*[0-9]+[ :：]|Traceback \([^)\n]*\)|File \"[^\"\n]+\", line [0-9]+(?:, in \w+)?|[\p{L}_.$]+(?:Error|Exception|Warning) ?:|(?:Warning|Notice|Fatal error|Parse error|Deprecated): "
+    r"|at [\w$.]+\([\w.]+:[0-9]+\)|Segmentation fault|core dumped|Stack trace:"
+)
+# How servers sign their pages.
+SIGNATURE = r"^[^\p{L}\p{N}]*[A-Za-z][\w\-]*/[0-9][\w.]*(?: \([^()\n]*\))?(?: (?:Server )?at \S+ port [0-9]+)?$"
 # The words of the customary Latin filler.
 LATIN_FILLER = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
     "veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit "
     "esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
-#: Share of the letters that may stay when page machinery is taken away.
+#: Share of the letters that may stay when lines of a kind and page machinery are taken away.
 RESIDUE_SHARE = 0.2
-#: Words of Latin filler that make a text of it.
-LATIN_WORDS = 5
+#: Share of the letters of a line that may be other words than those of its kind.
+OTHER_WORDS = 0.35
+#: The same of a line that begins like a message of a server or program.
+FORM_WORDS = 0.7
+#: Words of Latin filler that make a line of it.
+LATIN_WORDS = 4
+#: Authors with whom a line must recur to be page machinery, and the share of the documents
+#: with it that must have a line of a kind.
+MACHINERY_AUTHORS, MACHINERY_SHARE = 5, 0.5
+
+_LINE = "[ \\t　]*\\n[ \\t　]*"
 
 
-def _whole_lines(patterns: list[str]) -> str:
-    """Any of the patterns as a whole line, with blanks and dots or dashes around it."""
-    return r"(?m)^[ \t　>*#\-]*(?:" + "|".join(patterns) + r")[ \t　.…。!！\-=~*]*$"
+def letters(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+", ""))
+
+
+def _explained(text: Column) -> Column:
+    """The text without code and without the lines near an explanation of a notation."""
+    bare = F.regexp_replace(F.regexp_replace(text, _CODE, " "), _INLINE, " ")
+    near = rf"(?m)(?:^.*\n){{0,{WINDOW}}}^.*(?:{EXPLAINS}).*$(?:\n.*$){{0,{WINDOW}}}"
+    return F.when(bare.rlike(EXPLAINS), F.regexp_replace(bare, near, " ")).otherwise(bare)
 
 
 def placeholder_counts(text: Column) -> Column:
     """Struct of the number of unfilled placeholders by delimiter, outside code and explanations."""
-    t = F.regexp_replace(F.regexp_replace(text, _CODE, " "), _INLINE, " ")
-    t = F.regexp_replace(t, rf"(?m)^.*(?:{EXPLAINS}).*$", " ")
+    t = _explained(text)
     return F.struct(*[F.regexp_count(t, F.lit(p)).alias(k) for k, p in PLACEHOLDERS.items()])
 
 
 def has_placeholder(text: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(text, _CODE, " "), _INLINE, " ")
-    t = F.regexp_replace(t, rf"(?m)^.*(?:{EXPLAINS}).*$", " ")
     # The characters every grammar needs; most texts have none and skip the grammars.
-    return F.when(text.rlike(r"[{}%@\[【<]|__"), t.rlike("|".join(f"(?:{p})" for p in PLACEHOLDERS.values()))).otherwise(False)
+    return F.when(text.rlike(r"[{}%@\[【<]|__"), _explained(text).rlike("|".join(f"(?:{p})" for p in PLACEHOLDERS.values()))).otherwise(False)
+
 
+def line_kind(line: Column) -> Column:
+    """error, notice, stand_in, filler or signature if a line is of that kind, else null; a
+    signature or bar of links makes no case alone.
 
-def residue_kind(docs: DataFrame, text: str = "text") -> DataFrame:
+    What a line quotes is not what it says, and addresses and paths are no words; kana endings
+    count neither for nor against a kind."""
+    own = "(?iu)" + "|".join((FAILURES, THINGS, SCRIPTS, DEMANDS, PROVISIONAL, PARTS, PENDING, TRIALS, SMALL))
+    latin = r"(?i)(?<!\p{L})(?:" + "|".join(LATIN_FILLER) + r")(?!\p{L})"
+    said = F.regexp_replace(line, r"『[^『』]*+』|「[^「」]*+」|“[^“”]*+”|\"[^\"]*+\"|https?://\S+|(?<![\p{L}])/[\w./?=&-]+|(?<!\S)[^\s@]++@\S++", " ")
+    other = lambda t, p: F.length(F.regexp_replace(F.regexp_replace(t, p, " "), r"[^\p{L}]+|[ぁ-ん]+", ""))
+
+    def of(t):
+        says = lambda *p: reduce(lambda a, b: a & b, [t.rlike("(?iu)" + x) for x in p])
+        # Loops over words are not left to patterns, which would go as deep as a line is long.
+        parts = (F.regexp_count(t, F.lit("(?iu)" + PARTS)) >= 3) & (F.regexp_replace(t, rf"(?iu){PARTS}|\P{{L}}+", "") == "")
+        again = let(F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.size(w) > 1) & (F.size(F.array_distinct(w)) == 1) & (F.length(F.try_element_at(w, F.lit(1))) > 1))
+        kind = (
+            F.when(says(SCRIPTS, f"{DEMANDS}|{FAILURES}"), "notice").when(says(FAILURES, THINGS), "error").when(says(PENDING), "stand_in").when(says(PROVISIONAL, PARTS), "filler").when(says(TRIALS), "stand_in")
+            .when(parts | again, "filler")
+        )
+        words = other(t, "^$")
+        return let(kind, lambda k: F.when(k.isNotNull() & (other(t, own) <= OTHER_WORDS * F.greatest(words, F.lit(1))), k))
+
+    form = line.rlike(rf"^[^\p{{L}}\p{{N}}]*(?:{FORMS})")
+    formed = other(line, rf"^[^\p{{L}}\p{{N}}]*(?:{FORMS})|{own}") <= FORM_WORDS * F.greatest(other(line, "^$"), F.lit(1))
+    # Most of its words, as other languages have some of them.
+    filled = (F.regexp_count(line, F.lit(latin)) >= LATIN_WORDS) & (other(line, latin) <= OTHER_WORDS * other(line, "^$"))
+    # Bars of links: three names or more between separators, with no stop.
+    bar = ~line.rlike("[.。!?！？]") & let(F.split(line, "[|>»›]"), lambda x: (F.size(x) > 2) & ~F.exists(x, lambda y: F.trim(y) == ""))
+    return F.when(line.rlike(SIGNATURE) | bar, "signature").when(form & formed, "error").when(filled, "filler").otherwise(let(said, of))
+
+
+def _gate() -> str:
+    """What every line of a kind has at least one of."""
+    lone = r"(?<!\p{L})(?:" + "|".join(LATIN_FILLER[:2] + ["amet", "adipiscing", "tempor", "incididunt", "nostrud", "veniam"]) + r")(?!\p{L})"
+    return rf"(?m)(?iu:{FAILURES}|{SCRIPTS}|{PROVISIONAL}|{PENDING}|{TRIALS}|{lone}|{PARTS}\P{{L}}*{PARTS}\P{{L}}*{PARTS})|^[^\p{{L}}\p{{N}}\n]*(?:{FORMS})|(?<!\p{{L}})(\p{{L}}{{2,}}+)[\s,、　]+\1(?!\p{{L}})"
+
+
+def residue_cases(docs: DataFrame, text: str = "text", author: str | None = "author_id") -> DataFrame:
+    """(key, residue): the md5 of each different text that is a case, and its kind.
+
+    Lines are read with their digits as one and their outer blanks cut. What machinery is, is
+    counted over all documents: of each line the documents it is in, those of them with a line
+    of a kind, and the authors, by 64 classes of their names. Without authors every document
+    counts as another one.
+    """
+    raw = F.regexp_replace(F.col(text), r"\r\n?", "\n")
+    who = F.col(author) if author else F.md5(F.col(text))
+    rows = docs.filter(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.md5(F.col(text)).alias("key"), raw.alias("t"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(who), F.lit(64)).cast("int")).alias("who"))
+    # Words with a digit in them as one: numbers, dates, digests.
+    fold = lambda x: F.xxhash64(F.regexp_replace(x, "(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]++", "0"))
+    lines = F.array_distinct(F.split(F.trim("t"), _LINE))
+    told = F.transform(F.split(F.trim("t"), _LINE), lambda x: F.struct(fold(x).alias("h"), letters(x).alias("n"), line_kind(x).alias("kind")))
+    # One struct, made once: a filter on its parts would be pushed down and make them anew.
+    row = F.struct("key", "who", has_placeholder(F.col("t")).alias("open"), F.when(F.col("t").rlike(_gate()), told).alias("lines"))
+    case = lambda x: x["open"] | F.coalesce(F.exists(x["lines"], lambda y: y["kind"] != "signature"), F.lit(False))
+    marked = cut(rows.select(F.explode(F.filter(F.array(row), case)).alias("x")).select("x.*"))
+    beside = marked.filter("not open").select("key", "who", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x["kind"].isNull()), lambda x: x["h"]))).alias("h"))
+    beside = beside.groupBy("h").agg(F.count("*").alias("near"), F.bit_or("who").alias("who")).filter(F.bit_count("who") >= MACHINERY_AUTHORS)
+    every = rows.select(F.explode(F.transform(lines, fold)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    machinery = every.join(beside, "h").filter(F.col("near") >= MACHINERY_SHARE * F.col("n")).select("h")
+    # Of each text that is not a placeholder's: its letters, and those of lines of no kind.
+    one = marked.groupBy("key").agg(F.max("open").alias("open"), F.first("lines").alias("lines"))
+    one = one.withColumn("all", F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]))
+    kinds = F.transform(F.filter("lines", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    kind = F.coalesce(*[F.when(F.array_contains(kinds, k), k) for k in ("error", "notice", "stand_in", "filler")])
+    one = one.withColumn("kind", kind)
+    left = one.filter("not open").select("key", F.explode(F.filter("lines", lambda x: x["kind"].isNull() & (x["n"] > 0))).alias("x")).select("key", "x.h", "x.n")
+    left = left.join(machinery, "h", "left_anti").groupBy("key").agg(F.sum("n").alias("left"))
+    done = one.select("key", "open", "kind", "all").join(left, "key", "left")
+    case = F.when(F.col("open"), "placeholder").when(F.coalesce("left", F.lit(0)) <= RESIDUE_SHARE * F.col("all"), F.col("kind"))
+    return done.select("key", case.alias("residue")).filter("residue is not null")
+
+
+def residue_kind(docs: DataFrame, text: str = "text", author: str | None = None) -> DataFrame:
     """``docs`` and a column ``residue``: placeholder, error, notice, stand_in, filler or null.
 
     The first kind that applies, in this order. Null, empty and blank texts have none.
     """
-    raw = F.regexp_replace(F.col(text), r"\r\n?", "\n")
-    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+", ""))
-    t, bare = F.col("_t"), F.col("_bare")
-    kinds = {"error": _whole_lines(ERRORS), "notice": _whole_lines(NOTICES), "stand_in": _whole_lines(STAND_INS)}
-    filler = "|".join(FILLERS)
-    latin = r"(?i)\b(?:" + "|".join(LATIN_FILLER) + r")\b"
-    marks = {
-        **{k: t.rlike(p) for k, p in kinds.items()},
-        "filler": t.rlike(filler) | (F.regexp_count(t, F.lit(latin)) >= LATIN_WORDS),
-    }
-    mark = F.lit(None).cast("string")
-    for k, c in reversed(marks.items()):
-        mark = F.when(c, k).otherwise(mark)
-    lines = "(?m)" + "|".join(p.removeprefix("(?m)") for p in (*kinds.values(), _whole_lines(FRAME)))
-    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, lines, " "), filler, " "), latin, " ")
-    rows = docs.withColumn("_t", raw)
-    rows = rows.withColumn("_mark", mark)
-    rows = rows.withColumn("_bare", F.when(F.col("_mark").isNotNull(), letters(left) <= RESIDUE_SHARE * letters(t)))
-    kind = F.when(has_placeholder(t), "placeholder").when(bare, F.col("_mark"))
-    return rows.withColumn("residue", kind).drop("_t", "_mark", "_bare")
+    cases = residue_cases(docs, text, author).withColumnRenamed("key", "_key")
+    return docs.withColumn("_key", F.md5(F.col(text))).join(cases, "_key", "left").drop("_key")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "author_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with residue of page production instead of content."""
-    docs = residue_kind(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.filter("residue is not null").select("doc_id").distinct()
+    docs = _documents(spark, sf_dir)
+    cases = residue_cases(docs)
+    return docs.select("doc_id", F.md5("text").alias("key")).join(cases, "key", "left_semi").select("doc_id").distinct()
 
 
 def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents fit to keep, whole."""
-    docs = residue_kind(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.filter("residue is null").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
+    return docs.withColumn("key", F.md5("text")).join(residue_cases(docs).select("key"), "key", "left_anti").select("doc_id", "text")
 
 
 def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents of each kind of residue."""
-    docs = residue_kind(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = residue_kind(_documents(spark, sf_dir), author="author_id")
     return docs.groupBy(F.coalesce("residue", F.lit("none")).alias("residue")).agg(F.count("*").alias("n"))

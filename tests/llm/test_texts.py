@@ -257,3 +257,78 @@ def test_queries_run_on_the_small_tables(spark, data):
 
     for name, q in queries.QUERIES.items():
         assert q(spark, data).count() > 0, name
+
+
+# Wordings that stand nowhere in the test tables.
+HELD_OUT = [
+    "Sorry, we couldn't find that page. It may have been moved or deleted.",
+    'JavaScript is disabled in your browser. Please turn it on to see this site.',
+    'このページは現在ご利用いただけません。時間をおいて再度アクセスしてください。',
+    'Text will be added here shortly.',
+    '内容は後日追加します。',
+    'Seite konnte nicht gefunden werden.',
+    "Cette page n'existe pas ou plus.",
+    '页面无法显示，请稍后再试。',
+    '서버 오류가 발생했습니다. 잠시 후 다시 시도해 주세요.',
+    'Something went wrong while loading this page.',
+    'You must allow scripts to use this site.',
+    'スクリプトをオンにしてご覧ください。',
+    'Dummy text for the intro section.',
+    'このサイトは現在準備中です。',
+    'Insert headline here',
+    'Hier folgt später ein Text.',
+    'Page under construction - check back soon',
+    'java.lang.NullPointerException: null\n  at board.View.render(View.java:44)',
+    '503 Service Temporarily Unavailable\nnginx/1.18.0',
+    'ここにタイトルを入力してください',
+    'Der Server ist überlastet. Bitte versuchen Sie es später erneut.',
+    'หน้าเว็บนี้ต้องใช้ JavaScript',
+    'इस पृष्ठ के लिए जावास्क्रिप्ट आवश्यक है।',
+    'Le serveur est temporairement indisponible.',
+    'hello testing testing',
+    'テスト投稿',
+    '내용 준비 중입니다.',
+    '正文稍后补充。',
+    "ERROR 1045: Access denied for user 'board'@'localhost'",
+    'Ce site requiert JavaScript pour fonctionner.',
+    "nginx/1.18.0\n502 Bad Gateway",
+    "Bitte schalten Sie Skripte ein oder aktivieren Sie JavaScript.",
+    "Une erreur est survenue, le document est introuvable.",
+    "このファイルは削除されたか、存在しません。",
+]
+TALK = [
+    'I wrote a page about how the server broke last night: it said 404 Not Found and everyone in the guild laughed for an hour before the smith fixed it.',
+    '昨日サーバーが落ちて『ページが見つかりません』と出たけど、みんなで釣りに行って楽しかったよ。',
+    'The tutorial shows how to greet users.\nWrite the name between double braces,\nlike {{ name }} in the greeting,\nand the template engine replaces the placeholder with the value.',
+    'The key was not found in the old mill.',
+    'Der Server hat heute Brot gebracht.',
+    'We tested the new bow all week and the captain approved.',
+    'Please enable the lantern before you enter the mine.',
+    "The moderator read the page aloud and the thread went on for days.",
+    "ここに来れば本文の続きを聞けると船長が言ったので皆で港へ行った。",
+]
+
+
+def test_residue_in_other_words(spark):
+    """Recall of at least 95 % on wordings of our own, none of the texts that talk of them."""
+    df = spark.createDataFrame(list(enumerate(HELD_OUT + TALK)), "id int, text string")
+    got = {r.id: r.residue for r in residue.residue_kind(df).collect()}
+    found = [got[i] is not None for i in range(len(HELD_OUT))]
+    assert sum(found) >= 0.95 * len(found), [x for x, f in zip(HELD_OUT, found) if not f]
+    assert not [TALK[i - len(HELD_OUT)] for i in range(len(HELD_OUT), len(got)) if got[i]]
+
+
+def test_machinery_is_learned_and_content_beside_an_error_is_kept(spark):
+    bar, banner = "Zork ~ Quux ~ Frobnicate ~ Plugh", "powered by blorple engine 7"
+    rows = [(f"a{i}", f"{bar}\n404 Not Found\n{banner}") for i in range(20)] + [(f"b{i}", f"We sailed on day {i}.\nThe bell was found again.") for i in range(30)]
+    rows += [("c", f"{bar}\nThe captain read us the whole story of the drowned belfry.\n404 Not Found")]
+    df = spark.createDataFrame([(i, t, a) for i, (a, t) in enumerate(rows)], "id int, text string, author_id string")
+    got = {r.id: r.residue for r in residue.residue_kind(df, author="author_id").collect()}
+    assert all(got[i] == "error" for i in range(20)) and all(got[i] is None for i in range(20, 51))
+
+
+def test_residue_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, "k"), (1, "", "k"), (1, " \n ", "k"), (1, "404 Not Found", "k"), (1, "404 Not Found", "k"), (2, "k" * 200_000, None), (2, "@" * 50_000 + "『" * 50_000, None), (2, "page boat " * 10_000, None)], "id int, text string, key string")
+    got = residue.residue_kind(df).collect()
+    assert sorted((r.id, r.text is None, r.residue or "") for r in got if r.residue) == [(1, False, "error")] * 2 and len(got) == 8
+    assert residue.residue_kind(df.limit(0)).count() == 0
