@@ -2,19 +2,20 @@
 
 Every valid reading of a value is generated as an element of an array, by expressions
 alone: the format patterns give calendar fields, the date order its possible orders, the
-clock of the source its possible instants. A value whose array has one element is settled.
-Where a source has values with several, the readings are chosen by Viterbi over that
-source's record order, with a cost for a change of format and for a jump back in time.
+clock of the source its possible instants. The reading of each value is chosen by Viterbi
+over its source's record order, with a cost for a change of format, for a jump back in time
+and for an order other than the source's stated one. Whether the chosen reading fixes an
+instant is asked last: an order that contradicts the stated one and a time that the clock
+shows twice fix none.
 """
 
 from __future__ import annotations
 
-import json
-import math
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuskit.functions.text import let
 from corpuskit.operators.lineage import cut, read_table
 
 # Zone names with one meaning, in minutes east of UTC.
@@ -63,8 +64,8 @@ FORMATS = {
 EPOCHS = {"epoch_s": (r"^\d{9,10}$", 1), "epoch_ms": (r"^\d{12,13}$", 1_000), "epoch_us": (r"^\d{15,16}$", 1_000_000)}
 
 EXACT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-SWITCH_COST, BACK_COST = 1.0, 2.0
-READINGS = "array<struct<utc:bigint,form:string>>"
+SWITCH_COST, BACK_COST, ORDER_COST = 1.0, 2.0, 100.0
+READINGS = "array<struct<utc:bigint,form:string,cost:double,fixes:boolean>>"
 
 
 def _tidy(value: Column) -> Column:
@@ -119,13 +120,15 @@ _SEP = "\u0001"
 
 
 def with_readings(rows: DataFrame, value: str, clock: str, order: str) -> DataFrame:
-    """``rows`` and a column ``readings``: all valid readings (utc, form) of ``value``,
-    an empty array if none fixes an instant.
+    """``rows`` and a column ``readings``: all valid readings (utc, form, cost, fixes) of
+    ``value``, an empty array if it has none.
 
     ``clock`` is the source's IANA zone and ``order`` its date order, either null if not
-    known. A known order leaves a numeric date one reading; a time that the clock shows
-    twice or never gives none, and neither does a time of day that is missing. A value
-    is matched and taken apart by one pattern; what follows works on its fields.
+    known. A numeric date has a reading for every order in which it is a day of the calendar;
+    those against a known order cost ORDER_COST and fix no instant. A time that the clock
+    shows twice has two readings that fix none; one that it never shows has none, nor has a
+    date without a time of day. A value is matched and taken apart by one pattern; what
+    follows works on its fields.
     """
     v, form, part = F.col("_v"), F.col("_form"), F.col("_part")
     which, parts = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -151,25 +154,28 @@ def with_readings(rows: DataFrame, value: str, clock: str, order: str) -> DataFr
     )
     a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
     year = lambda x: F.when(F.length(x) == 4, x.try_cast("int")).when(x.try_cast("int") < 70, x.try_cast("int") + 2000).otherwise(x.try_cast("int") + 1900)
-    each = [F.struct(form.alias("form"), (_days(F.col("_y"), F.col("_mo"), F.col("_d")) * 86400 + F.col("_t")).alias("local"))]
-    dated = [F.when(form != "numeric", each[0])]
+    each = F.struct(form.alias("form"), (_days(F.col("_y"), F.col("_mo"), F.col("_d")) * 86400 + F.col("_t")).alias("local"), F.lit(True).alias("fits"))
+    dated = [F.when(form != "numeric", each)]
     for name, (y, mo, d) in {"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}.items():
         # A year has two or four digits and a day never four.
-        fits = (form == "numeric") & (F.coalesce(F.col(order), F.lit(name)) == name) & (F.length(d) <= 2) & F.length(y).isin(2, 4)
+        may = (form == "numeric") & (F.length(d) <= 2) & F.length(y).isin(2, 4)
         local = _days(year(y), mo.try_cast("int"), d.try_cast("int")) * 86400 + F.col("_t")
-        dated.append(F.when(fits, F.struct(F.lit(f"numeric_{name}").alias("form"), local.alias("local"))))
+        dated.append(F.when(may, F.struct(F.lit(f"numeric_{name}").alias("form"), local.alias("local"), (F.coalesce(F.col(order), F.lit(name)) == name).alias("fits"))))
     rows = rows.withColumn("_dated", F.when(form.isNotNull(), F.filter(F.array(*dated), lambda x: x["local"].isNotNull())))
 
-    def instant(x):
+    def reading(utc, form, cost, fixes):
+        return F.struct(utc.cast("long").alias("utc"), form.alias("form"), cost.cast("double").alias("cost"), fixes.alias("fixes"))
+
+    def instants(x):
         got = _instants(x["local"], F.col("_zone"), F.col(clock))
-        return F.struct(F.when(F.size(got) == 1, F.element_at(got, 1)).cast("long").alias("utc"), x["form"].alias("form"))
+        return let(got, lambda g: F.transform(g, lambda u: reading(u, x["form"], F.when(x["fits"], 0.0).otherwise(ORDER_COST), x["fits"] & (F.size(g) == 1))))
 
     epochs = [
-        F.when(v.rlike(pattern), F.struct(F.floor(v.try_cast("long") / unit).cast("long").alias("utc"), F.lit(name).alias("form")))
+        F.when(v.rlike(pattern), reading(F.floor(v.try_cast("long") / unit), F.lit(name), F.lit(0.0), F.lit(True)))
         for name, (pattern, unit) in EPOCHS.items()
     ]
     none = F.array().cast(READINGS)
-    found = F.concat(F.coalesce(F.transform("_dated", instant), none), F.when(v.rlike("^[0-9]+$"), F.array_compact(F.array(*epochs))).otherwise(none))
+    found = F.concat(F.coalesce(F.flatten(F.filter(F.transform("_dated", instants), lambda x: x.isNotNull())), none), F.when(v.rlike("^[0-9]+$"), F.array_compact(F.array(*epochs))).otherwise(none))
     rows = rows.withColumn("readings", F.filter(found, lambda x: x["utc"].isNotNull()))
     return rows.drop(*[c for c in rows.columns if c in {"_v", "_form", "_part", "_dated", "_zone", "_t", "_y", "_mo", "_d", "_a", "_b", "_c"}])
 
@@ -178,130 +184,223 @@ def with_readings(rows: DataFrame, value: str, clock: str, order: str) -> DataFr
 
 
 def _step(prev, cur):
-    """Costs from each reading of a record to each of the next one."""
+    """Costs from each reading (utc, form) of a record to each of the next one."""
     return [[SWITCH_COST * (p[1] != c[1]) + BACK_COST * (c[0] < p[0]) for c in cur] for p in prev]
 
 
-def _times(m, n):
-    return [[min(m[i][k] + n[k][j] for k in range(len(n))) for j in range(len(n[0]))] for i in range(len(m))]
-
-
-def _runs(batches):
-    """Consecutive records of one source: (source, ids, readings); needs sorted input."""
-    source, ids, arrays = None, [], []
-    for batch in batches:
-        for s, i, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if s != source and ids:
-                yield source, ids, arrays
-                ids, arrays = [], []
-            source = s
-            ids.append(i)
-            arrays.append([(x["utc"], x["form"]) for x in r])
-    if ids:
-        yield source, ids, arrays
+class Lattice:
+    """The readings of sorted records as arrays of records by places, places beyond a
+    record's readings at infinite cost. ``link`` says which record follows the one before it
+    in the same source."""
+
+    def __init__(self, source: np.ndarray, offsets: np.ndarray, utc, form, cost):
+        n, sizes = len(source), np.diff(offsets)
+        width = int(sizes.max(initial=1))
+        at = np.repeat(np.arange(n), sizes), np.arange(len(utc)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+        self.sizes, self.link = sizes, np.concatenate([[False], source[1:] == source[:-1]])
+        self.utc, self.form = np.zeros((n, width), np.int64), np.full((n, width), -1, np.int64)
+        self.cost = np.full((n, width), np.inf)
+        self.utc[at], self.form[at], self.cost[at] = utc, form, cost
+
+    def step(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Costs from each reading of the records i to each of the records j, those of j included."""
+        switch = self.form[i][:, :, None] != self.form[j][:, None, :]
+        back = self.utc[j][:, None, :] < self.utc[i][:, :, None]
+        return SWITCH_COST * switch + BACK_COST * back + self.cost[j][:, None, :]
+
+    def levels(self, forward: bool):
+        """Records in turns, all of a turn independent of each other: a record with one
+        reading cuts the path, so its neighbours need not wait for it."""
+        n = len(self.sizes)
+        waits = self.link & (np.concatenate([[1], self.sizes[:-1]]) > 1) if forward else np.concatenate([self.link[1:] & (self.sizes[1:] > 1), [False]])
+        begins = np.maximum.accumulate(np.where(~waits, np.arange(n), 0)) if forward else n - 1 - np.maximum.accumulate(np.where(~waits[::-1], np.arange(n), 0))[::-1]
+        turn = np.abs(np.arange(n) - begins)
+        order = np.argsort(turn, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(turn[order])) + 1) if n else []
+
+    def backward(self, leave: dict[int, np.ndarray]) -> np.ndarray:
+        """Least cost from each reading to the end of its source in this part; ``leave`` has
+        what follows the last record of a source that goes on in another part."""
+        out = np.zeros_like(self.cost)
+        for i, after in leave.items():
+            out[i, : len(after)] = after
+        follows = np.concatenate([self.link[1:], [False]])
+        for at in self.levels(False):
+            i = at[follows[at] & (self.sizes[at] > 1)]
+            if len(i):
+                out[i] = (self.step(i, i + 1) + out[i + 1][:, None, :]).min(axis=2)
+        return out
+
+    def choose(self, enter: dict[int, np.ndarray], leave: dict[int, np.ndarray]) -> np.ndarray:
+        """The place of the reading of each record on a path of least cost; of equal ones the
+        first. ``enter`` has the costs of the first record of a source begun in another part."""
+        after, out = self.backward(leave), np.zeros(len(self.sizes), np.int64)
+        for at in self.levels(True):
+            score = self.cost[at].copy()
+            linked = self.link[at]
+            j = at[linked]
+            score[linked] = self.step(j - 1, j)[np.arange(len(j)), out[j - 1]]
+            for k in np.flatnonzero(~linked):
+                if at[k] in enter:
+                    score[k, : len(enter[at[k]])] = enter[at[k]]
+            out[at] = np.round(score + after[at], 6).argmin(axis=1)
+        return out
+
+    def through(self, first: int, last: int) -> np.ndarray:
+        """Least costs from each reading of the record ``first`` to each of ``last``, but for a
+        cost that all share; that of ``first`` itself is left out."""
+        m = int(self.sizes[first])
+        total = np.where(np.eye(m, self.cost.shape[1], dtype=bool), 0.0, np.inf)
+        cuts = np.flatnonzero(self.sizes[first + 1 : last + 1] == 1) + first + 1
+        if not len(cuts):
+            return self._walk(total, first, last)[:, : self.sizes[last]]
+        # From the first to the last record with one reading all paths cost the same, and a
+        # cost that all share moves no choice.
+        unit = np.where(np.arange(self.cost.shape[1]) == 0, 0.0, np.inf)[None, :]
+        return self._walk(total, first, int(cuts[0]))[:, :1] + self._walk(unit, int(cuts[-1]), last)[:, : self.sizes[last]]
+
+    def _walk(self, total, first, last):
+        for i in range(first, last):
+            total = (total[:, :, None] + self.step(np.array([i]), np.array([i + 1]))).min(axis=1)
+        return total
+
+
+def _lattices(batches):
+    """The sorted records of one part: columns, lattice, names of sources and of the part."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    table = pa.Table.from_batches(held).combine_chunks()
+    column = lambda k: table.column(k).combine_chunks() if table.num_rows else table.column(k)
+    names, readings = column("source").dictionary_encode(), column("readings")
+    flat = readings.flatten()
+    form = flat.field("form").dictionary_encode()
+    cost = flat.field("cost").to_numpy(zero_copy_only=False) if flat.type.get_field_index("cost") >= 0 else np.zeros(len(flat))
+    lattice = Lattice(names.indices.to_numpy(), readings.offsets.to_numpy(), flat.field("utc").to_numpy(zero_copy_only=False), form.indices.to_numpy(zero_copy_only=False), cost)
+    # Forms are compared across parts by name.
+    return table, lattice, names, flat, form.dictionary.to_pylist()
+
+
+_END = "part int, source string, last boolean, utc array<bigint>, form array<string>, cost array<double>, inner array<array<double>>"
 
 
 def _ends(batches):
-    """Per run: its first and last readings and the least cost from each to each."""
-    for source, _, arrays in _runs(batches):
-        cost = [[0.0 if i == j else math.inf for j in range(len(arrays[0]))] for i in range(len(arrays[0]))]
-        for a, b in zip(arrays, arrays[1:]):
-            cost = _times(cost, _step(a, b))
-        yield pa.record_batch(
-            [pa.array([source]), pa.array([json.dumps([arrays[0], arrays[-1], cost])])], names=["source", "ends"]
-        )
+    """The sources at the beginning and at the end of a part, which others may share: first
+    and last readings and the least costs between them; two rows at most."""
+    got = _lattices(batches)
+    if got is None:
+        return
+    table, g, names, _, forms = got
+    starts = np.flatnonzero(~g.link)
+    stops = np.concatenate([starts[1:] - 1, [table.num_rows - 1]])
+    for k in dict.fromkeys((0, len(starts) - 1)):
+        a, b = int(starts[k]), int(stops[k])
+        inner = g.through(a, b)
+        for i, last in ((a, False), (b, True)):
+            m = int(g.sizes[i])
+            yield pa.RecordBatch.from_pylist(
+                [
+                    {
+                        "part": table.column("part")[0].as_py(), "source": names[a].as_py(), "last": last, "utc": g.utc[i, :m].tolist(), "form": [forms[f] for f in g.form[i, :m]], "cost": g.cost[i, :m].tolist(),
+                        "inner": inner.tolist() if last else None,
+                    }
+                ],
+                schema=pa.schema([("part", pa.int32()), ("source", pa.string()), ("last", pa.bool_()), ("utc", pa.list_(pa.int64())), ("form", pa.list_(pa.string())), ("cost", pa.list_(pa.float64())), ("inner", pa.list_(pa.list_(pa.float64())))]),
+            )
+
+
+def _between(p, c) -> np.ndarray:
+    """Costs from each last reading of one part to each first reading of the next."""
+    return np.array(_step(list(zip(p.utc, p.form)), list(zip(c.utc, c.form)))) + np.array(c.cost)[None, :]
 
 
 def choose_readings(rows: DataFrame) -> DataFrame:
-    """(row_id, utc, form) of ``rows`` (source, ord, row_id, readings), readings not empty.
-
-    The path of least cost over each whole source. Sources are cut into sorted parts;
-    every part reports the least costs between its ends, and with these each part is
-    solved on its own with the costs of what lies before and after it. So the result is
-    the same however a source is divided, and no task holds more than one part. Of equal
-    paths each record takes the reading that comes first in its array.
+    """The further columns of ``rows`` (source, ord, row_id, readings, ...), readings not
+    empty, and the fields of the reading on a path of least cost over the whole source.
+    Readings without a field ``cost`` cost nothing by themselves.
+
+    Sources are cut into sorted parts; the first and the last source of a part, which alone
+    it can share with others, report the least costs between its ends, and with these each
+    part is solved on its own. So the result is the same however a source is divided, no task
+    holds more than one part, and the driver two sources of each part. Of equal paths each
+    record takes the reading that comes first in its array.
     """
     spark = rows.sparkSession
     parts = cut(
-        rows.select("source", "row_id", "readings", "ord")
+        rows.withColumn("source", F.coalesce("source", F.lit("\u0000")))
         .repartitionByRange("source", "ord", "row_id")
         .sortWithinPartitions("source", "ord", "row_id")
-        .select(F.coalesce("source", F.lit("\u0000")).alias("source"), "row_id", "readings", F.spark_partition_id().alias("part"))
+        .withColumn("part", F.spark_partition_id())
     )
-    ends = parts.select("source", "row_id", "readings", "part")
-    got = ends.mapInArrow(_tagged_ends, "part int, source string, ends string").collect()
     chains: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: r.part):
-        chains.setdefault(r.source, []).append((r.part, *json.loads(r.ends)))
-    before, after = {}, {}
+    got = parts.select("source", "readings", "part").mapInArrow(_ends, _END).collect()
+    for r in sorted(got, key=lambda r: (r.part, r.last)):
+        if r.last:
+            chains[r.source][-1].append(r)
+        else:
+            chains.setdefault(r.source, []).append([r])
+    enter, leave = {}, {}
     for source, chain in chains.items():
-        cost, last = None, None
-        for part, first, end, inner in chain:
-            enter = [min((c + s for c, s in zip(cost, col)), default=0.0) for col in zip(*_step(last, first))] if last else [0.0] * len(first)
-            before[part, source] = enter
-            cost, last = [min(enter[i] + inner[i][j] for i in range(len(first))) for j in range(len(end))], end
-        cost, nxt = None, None
-        for part, first, end, inner in reversed(chain):
-            leave = [min(s + c for s, c in zip(row, cost)) for row in _step(end, nxt)] if nxt else [0.0] * len(end)
-            after[part, source] = leave
-            cost, nxt = [min(inner[i][j] + leave[j] for j in range(len(end))) for i in range(len(first))], first
-    bounds = spark.sparkContext.broadcast((before, after))
+        cost = None
+        for (first, end), before in zip(chain, [None, *chain]):
+            cost = np.array(first.cost) if before is None else (cost[:, None] + _between(before[1], first)).min(axis=0)
+            if before is not None:
+                enter[first.part, source] = cost
+            cost = (cost[:, None] + np.array(end.inner)).min(axis=0)
+        cost = None
+        for (first, end), after in zip(reversed(chain), [None, *reversed(chain)]):
+            cost = np.zeros(len(end.utc)) if after is None else (_between(end, after[0]) + cost[None, :]).min(axis=1)
+            if after is not None:
+                leave[end.part, source] = cost
+            cost = (np.array(end.inner) + cost[None, :]).min(axis=1)
+    bounds = spark.sparkContext.broadcast((enter, leave))
+    from pyspark.sql.types import StructType
+
+    fields = rows.schema["readings"].dataType.elementType.fields
+    keep = [f for f in parts.schema.fields if f.name not in ("part", "readings", "source", "ord")]
 
     def solved(batches):
-        part, held = None, []
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(3)[0].as_py()
-            held.append(batch)
-        for source, ids, arrays in _runs(held):
-            enter, leave = bounds.value[0][part, source], bounds.value[1][part, source]
-            back = [leave]
-            for a, b in zip(reversed(arrays[:-1]), reversed(arrays[1:])):
-                back.append([min(s + c for s, c in zip(row, back[-1])) for row in _step(a, b)])
-            back.reverse()
-            at, out = enter, []
-            for k, own in enumerate(arrays):
-                if k:
-                    at = _step([out[-1]], own)[0]
-                best = min(range(len(own)), key=lambda i: (round(at[i] + back[k][i], 6), i))
-                out.append(own[best])
-            yield pa.record_batch([pa.array(ids), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out])], names=["row_id", "utc", "form"])
-
-    return parts.mapInArrow(solved, "row_id string, utc bigint, form string")
-
-
-def _tagged_ends(batches):
-    part, held = None, []
-    for batch in batches:
-        if batch.num_rows:
-            part = batch.column(3)[0].as_py()
-        held.append(batch)
-    for got in _ends(held):
-        yield pa.record_batch([pa.array([part], pa.int32()), got.column(0), got.column(1)], names=["part", "source", "ends"])
+        got = _lattices(batches)
+        if got is None:
+            return
+        table, g, names, flat, _ = got
+        part = table.column("part")[0].as_py()
+        starts = np.flatnonzero(~g.link)
+        stops = np.concatenate([starts[1:] - 1, [table.num_rows - 1]])
+        before, after = {}, {}
+        for k in dict.fromkeys((0, len(starts) - 1)):
+            key = part, names[int(starts[k])].as_py()
+            if key in bounds.value[0]:
+                before[int(starts[k])] = bounds.value[0][key]
+            if key in bounds.value[1]:
+                after[int(stops[k])] = bounds.value[1][key]
+        place = g.choose(before, after)
+        offsets = table.column("readings").combine_chunks().offsets.to_numpy()
+        chosen = flat.take(pa.array(offsets[:-1] - offsets[0] + place))
+        out = pa.table([*[table.column(f.name) for f in keep], *[chosen.field(f.name) for f in fields]], names=[f.name for f in (*keep, *fields)])
+        yield from out.to_batches(max_chunksize=10_000)
+
+    return parts.mapInArrow(solved, StructType([*keep, *fields]))
 
 
 def normalise_dates(posts: DataFrame, boards: DataFrame) -> DataFrame:
     """(id, date, utc_second, form): every distinct (id, date, board) with its instant.
 
-    Null, empty and unreadable dates have a null utc_second. Of a board with
-    several rows one is taken; a post of another board is on no known clock. Rows are settled where they
-    are read; only sources with a value of several readings are sorted.
+    Null, empty and unreadable dates have a null utc_second. Of a board with several rows one
+    is taken; a post of another board is on no known clock. The record order of a board is that
+    of the first ingestion; rows without a reading have no part in it.
     """
     clocks = boards.select("board", F.col("timeZone").alias("_clock"), F.col("dateOrder").alias("_order")).dropDuplicates(["board"])
-    rows = posts.select("id", "board", "date", "ingestedAt").join(clocks, "board", "left")
-    read = cut(with_readings(rows, "date", "_clock", "_order").drop("_clock", "_order"))
-    open_sources = cut(read.filter(F.size("readings") > 1).select(F.coalesce("board", F.lit("")).alias("source")).distinct())
-    first = F.try_element_at("readings", F.lit(1))
-    settled = read.select("id", "date", first["utc"].alias("utc_second"), first["form"].alias("form"), F.size("readings").alias("n"), F.coalesce("board", F.lit("")).alias("source"))
-    if open_sources.isEmpty():
-        return settled.select("id", "date", "utc_second", "form").distinct()
-    several = read.filter(F.size("readings") > 0).withColumn("source", F.coalesce("board", F.lit(""))).join(open_sources, "source", "left_semi")
-    row_id = F.to_json(F.struct("id", "date", F.col("board").alias("b")))
-    chosen = choose_readings(several.select("source", F.col("ingestedAt").alias("ord"), row_id.alias("row_id"), "readings").dropDuplicates(["row_id"]))
-    part = F.from_json("row_id", "id string, date string, b string")
-    chosen = chosen.select(part["id"].alias("id"), part["date"].alias("date"), F.col("utc").alias("utc_second"), "form")
-    rest = settled.join(open_sources, "source", "left_anti").unionByName(settled.join(open_sources, "source", "left_semi").filter("n = 0"))
-    return rest.select("id", "date", "utc_second", "form").unionByName(chosen).distinct()
+    # Boards are a table of fixed size.
+    rows = posts.select("id", "board", "date", "ingestedAt").join(F.broadcast(clocks), "board", "left")
+    read = with_readings(rows, "date", "_clock", "_order").groupBy("id", "board", "date").agg(F.min("ingestedAt").alias("ord"), F.first("readings").alias("readings"))
+    read = cut(read)
+    row_id = F.concat_ws("\u0001", "id", F.coalesce("date", F.lit("")))
+    several = read.filter(F.size("readings") > 0).select(F.col("board").alias("source"), "ord", row_id.alias("row_id"), "id", "date", "readings")
+    chosen = choose_readings(several)
+    chosen = chosen.select("id", "date", F.when(F.col("fixes"), F.col("utc")).alias("utc_second"), F.when(F.col("fixes"), F.col("form")).alias("form"))
+    rest = read.filter(F.size("readings") == 0).select("id", "date", F.lit(None).cast("long").alias("utc_second"), F.lit(None).cast("string").alias("form"))
+    return rest.unionByName(chosen).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

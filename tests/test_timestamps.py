@@ -58,3 +58,29 @@ def test_parts_do_not_change_the_path(spark):
     for o in out:
         assert cost([o[r[2]] for r in rows]) == pytest.approx(min(best))
     assert out[0] == out[1] == out[2]
+
+
+def test_the_path_is_that_of_least_cost_in_all(spark):
+    """Against every path of short sources with costs of their own, ties included."""
+    import itertools
+    import random
+
+    random.seed(9)
+    rows = []
+    for s in range(12):
+        for i in range(7):
+            readings = [(random.randrange(6), random.choice("ab"), float(random.choice([0, 0, 1, 100]))) for _ in range(random.choice([1, 1, 2, 3]))]
+            rows.append((f"s{s}", i, f"r{s:02d}{i}", readings))
+    df = spark.createDataFrame(rows, "source string, ord int, row_id string, readings array<struct<utc:bigint,form:string,cost:double>>")
+    got = {r.row_id: (r.utc, r.form, r.cost) for r in M.choose_readings(df).collect()}
+    for s in range(12):
+        own = [r for r in rows if r[0] == f"s{s}"]
+        total = lambda path: sum(x[2] for x in path) + sum(M._step([a], [b])[0][0] for a, b in zip(path, path[1:]))
+        assert total([got[r[2]] for r in own]) == min(map(total, itertools.product(*[r[3] for r in own])))
+
+
+def test_a_stated_order_holds_against_the_path(spark):
+    """Neighbours may favour another order or an hour shown twice; neither fixes an instant."""
+    values = [("us", "1/02/2006 10:00 AM"), ("us", "13/01/2006 10:00 AM"), ("us", "1/14/2006 10:00 AM"), ("us", "10/29/2006 1:30 AM"), ("us", "11/01/2006 1:30 AM")]
+    got = read(spark, values)
+    assert got[1] is None and got[3] is None and None not in (got[0], got[2], got[4])
