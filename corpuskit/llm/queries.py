@@ -23,6 +23,8 @@ QUERIES = {
     "p8_roundtrip": tokens.p8_roundtrip,
     "p9_selection": mixing.p9_selection,
     "p9_shares": mixing.p9_shares,
+    "p9_rounds": mixing.p9_rounds,
+    "p9_classifier": mixing.p9_classifier,
     "p10_found": residue.p10_found,
     "p10_kept": residue.p10_kept,
     "p10_kinds": residue.p10_kinds,

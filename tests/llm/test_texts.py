@@ -195,7 +195,7 @@ def test_mix_reaches_its_targets(spark):
             i += 1
     docs += [(i + k, "salt wind rope", None) for k in range(10)] + [(i + 20, None, "big"), (i + 21, "", "big"), (None, "x", "big")]
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 4), ("gone", 0.1, 2)], "source string, target_weight double, max_repeats int")
-    sel, shares = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets)
+    sel, shares, *_ = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets)
     s = {r.source: r for r in shares.collect()}
     assert s["big"].share == pytest.approx(2 / 3, abs=0.04) and s["small"].expected_share == pytest.approx(1 / 3, abs=0.04) and s["gone"].n_tokens == 0
     rows = sel.collect()
@@ -212,15 +212,36 @@ def test_membership_on_held_out_documents(spark):
     rows = mixing.documents_with_tokens(spark.read.parquet(path))
     names = ["ghat-crawl", "hafen-export", "kisen-mirror", "quai-export"]
     train = rows.filter("doc_id % 3 <> 0")
-    w, p = mixing.train_membership(train, names)
+    w, p, temperature, (held_out, accuracy, largest) = mixing.train_membership(train, names)
+    assert held_out > 20 and accuracy > 0.6 and largest < 0.6
     test = [r for r in rows.filter("doc_id % 3 = 0").collect() if r.source in names and r.n_tokens > 20]
-    hit = [names[int(mixing.posteriors(np.array(r.ids), w, p).argmax())] == r.source for r in test]
+    best = mixing.posteriors(pa.array([r.ids for r in test], pa.list_(pa.int32())), w, p, temperature).argmax(axis=1)
+    hit = [names[i] == r.source for i, r in zip(best, test)]
     assert len(hit) >= 20 and np.mean(hit) > 0.75
 
 
+def test_shares_are_met_in_tokens_and_sum_to_one(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    sel, shares, rounds, _ = mixing._mix(spark, path)
+    got = [r for r in shares.collect() if r.n_tokens]
+    reachable = sum(r.target_weight for r in got)
+    assert sum(r.share for r in got) == pytest.approx(1.0)
+    assert all(r.share == pytest.approx(r.target_weight / reachable, rel=0.02) for r in got)
+    losses = [r.loss for r in rounds.orderBy("round").collect()]
+    assert losses == sorted(losses, reverse=True)
+    assert sum(r.n_tokens * r.repeats for r in sel.collect()) == sum(r.n_tokens for r in got)
+
+
+def test_corrections_take_the_largest_that_fit():
+    sizes = [("a", 10, 3, 0), ("a", 4, 1, 9), ("a", 1, 2, 2), ("b", 7, 5, 1)]
+    assert mixing.corrections({"a": 36.0, "b": -9.0}, sizes) == [("a", 10, 1, 3), ("a", 4, 1, 1), ("a", 1, 1, 2), ("b", 7, -1, 1)]
+
+
 def test_no_targets_or_documents(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_weight double, max_repeats int")
-    sel, shares = mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), t)
+    sel, shares, *_ = mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), t)
     assert sel.count() == 0 and shares.first().share == 0
 
 
