@@ -12,6 +12,7 @@ populations too large for the driver, take the route by joins, which computes th
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,9 @@ K = len(CHOICES)
 START, PRIOR_VOTES = 0.7, 2.0
 #: Votes of one item up to which they are kept in one row.
 ROW_VOTES = 10_000
-#: Annotators up to which the driver holds their accuracies (8 bytes each).
-DRIVER_ANNOTATORS = 1_000_000
+#: Annotators up to which the driver holds names and accuracies and broadcasts them: with
+#: names of a hundred bytes some 20 MB.
+DRIVER_ANNOTATORS = 200_000
 #: Accuracy below which answers tell nothing: between a coin and careful work.
 USELESS_BELOW = 0.62
 
@@ -65,9 +67,8 @@ def _flat(batch, j, k):
     return js.flatten().to_numpy(), ks.flatten().to_numpy(), starts
 
 
-def prepare(preferences: DataFrame) -> Prepared | DataFrame:
+def prepare(answers: DataFrame) -> Prepared | DataFrame:
     """Votes by item, or for populations beyond DRIVER_ANNOTATORS the plain answers."""
-    answers = cut(latest_answers(preferences))
     spark = answers.sparkSession
     people = answers.groupBy("annotator").count()
     counted = people.limit(DRIVER_ANNOTATORS + 1).collect()
@@ -150,6 +151,8 @@ def fit(ready: Prepared, rounds: int = 30, tolerance: float = 1e-3) -> tuple[np.
         at.destroy()
         if moved < tolerance:
             break
+    else:
+        warnings.warn(f"no convergence in {rounds} rounds", RuntimeWarning, stacklevel=2)
     return accuracy, n
 
 
@@ -171,15 +174,22 @@ def fit_joined(answers: DataFrame, rounds: int = 30, tolerance: float = 1e-3) ->
         at = new
         if (moved or 0) < tolerance:
             break
+    else:
+        warnings.warn(f"no convergence in {rounds} rounds", RuntimeWarning, stacklevel=2)
     return at
 
 
 def reliability(preferences: DataFrame) -> DataFrame:
+    """``reliability_of`` the answers that hold."""
+    return reliability_of(cut(latest_answers(preferences)))
+
+
+def reliability_of(answers: DataFrame) -> DataFrame:
     """(annotator, accuracy, n): the share of an annotator's answers that hit the truth,
     estimated from the others' consensus and smoothed by PRIOR_VOTES answers of START.
     An empty table gives no row."""
-    ready = prepare(preferences)
-    spark = preferences.sparkSession
+    ready = prepare(answers)
+    spark = answers.sparkSession
     if isinstance(ready, DataFrame):
         return fit_joined(ready)
     accuracy, n = fit(ready)
@@ -196,7 +206,7 @@ def consensus(preferences: DataFrame) -> DataFrame:
     needs no complete ratings. Comparisons without any answer have no row.
     """
     answers = cut(latest_answers(preferences))
-    people = reliability(preferences).select("annotator", F.log(F.col("accuracy") * (K - 1) / (1 - F.col("accuracy"))).alias("w"))
+    people = reliability_of(answers).select("annotator", F.log(F.col("accuracy") * (K - 1) / (1 - F.col("accuracy"))).alias("w"))
     votes = answers.join(people, "annotator")
     items = votes.groupBy("comparisonId", "dimension").agg(
         F.count("*").alias("n"),
@@ -224,6 +234,21 @@ def consensus(preferences: DataFrame) -> DataFrame:
     )
 
 
+def agreement(preferences: DataFrame) -> DataFrame:
+    """(dimension, n_items, n_answers, observed, chance, coefficient) over the items with two
+    answers or more: the share of agreeing pairs, each item weighted by its answers, that of
+    the dimension's own answer shares, and the one corrected by the other, which takes any
+    number of answers an item (1 complete, 0 chance, null without two items' worth of choice)."""
+    n, m = F.col("n"), F.col("m")
+    items = latest_answers(preferences).groupBy("comparisonId", "dimension").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("k") == c, 1)).alias(f"n{c}") for c in range(K)]).filter("n > 1")
+    same = sum((F.col(f"n{c}") * (F.col(f"n{c}") - 1) for c in range(K)), F.lit(0)) / (n - 1)
+    sums = items.groupBy("dimension").agg(F.count("*").alias("n_items"), F.sum("n").alias("m"), F.sum(same).alias("same"), *[F.sum(f"n{c}").alias(f"m{c}") for c in range(K)])
+    chance = sum((F.col(f"m{c}") * (F.col(f"m{c}") - 1) for c in range(K)), F.lit(0)) / (m * (m - 1))
+    out = sums.select("dimension", "n_items", m.alias("n_answers"), (F.col("same") / m).alias("observed"), chance.alias("chance"))
+    coefficient = F.when(F.col("chance") < 1, (F.col("observed") - F.col("chance")) / (1 - F.col("chance")))
+    return out.select("dimension", "n_items", "n_answers", F.round("observed", 6).alias("observed"), F.round("chance", 6).alias("chance"), F.round(coefficient, 6).alias("coefficient"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotators whose answers tell nothing about the consensus or contradict it."""
     people = reliability(read_table(spark, sf_dir, "preferences"))
@@ -237,3 +262,8 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus(read_table(spark, sf_dir, "preferences"))
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance-corrected agreement of each dimension."""
+    return agreement(read_table(spark, sf_dir, "preferences"))

@@ -14,6 +14,7 @@ QUERIES = {
     "p5_found": consensus.p5_found,
     "p5_annotators": consensus.p5_annotators,
     "p5_consensus": consensus.p5_consensus,
+    "p5_agreement": consensus.p5_agreement,
     "p6_found": lookalike.p6_found,
     "p6_classes": lookalike.p6_classes,
     "p6_normalised": lookalike.p6_normalised,
