@@ -9,6 +9,7 @@ QUERIES = {
     "p1_splits": splits.p1_splits,
     "p2_found": mojibake.p2_found,
     "p2_restored": mojibake.p2_restored,
+    "p2_rules": mojibake.p2_rules,
     "p4_found": sentences.p4_found,
     "p4_sentences": sentences.p4_sentences,
     "p5_found": consensus.p5_found,

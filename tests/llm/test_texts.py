@@ -61,6 +61,19 @@ def test_a_single_garbled_character_is_found_and_left_out_of_the_model(spark):
     assert got == {"b0": "The clerk doesn’t trust it.", "b1": "Don’t ask the captain.", "b2": "Fine line.\nShe doesn’t trust it."}
 
 
+def test_the_margin_lies_in_the_gap_of_all_gains():
+    margin, report = mojibake.margin_of({20: 3, 24: 1, 30: 2, 90: 5}, 25.0)
+    assert 30 / 4 < margin < 90 / 4 and report["doubtful"] == 6
+    assert mojibake.LEAST_MARGIN <= mojibake.margin_of({}, 25.0)[0] <= 25
+    assert mojibake.margin_of({}, 2.0)[0] >= mojibake.LEAST_MARGIN
+
+
+def test_chains_of_different_steps(model):
+    good = "昨日の深夜に黒帆の船長が沈んだ鐘楼で銀のコンパスを拾った。"
+    twice = good.encode().decode("latin-1").encode().decode("mac_roman")
+    assert mojibake.judge_texts([twice], model, 15.0)[0] == (True, good, "mac_roman>utf-8+cp1252>utf-8")
+
+
 def test_what_any_chain_can_read_is_traced():
     for text in ("ship 🙂 ahoy", "Привет", "“No”", "été"):
         for wrong in ("cp932", "gb18030"):
