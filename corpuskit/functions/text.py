@@ -162,10 +162,14 @@ def without_anchor_lines(c: Column) -> Column:
 
 
 def digit_reading(c: Column) -> Column:
-    """Two or three kana read as digits, small kana and length marks left out; else null."""
-    t = F.regexp_replace(c, "[ぁぃぅぇぉっゃゅょー]", "")
-    digits = F.translate(t, "いひふにみさしよごいむろなはやくきれ", "112233445566788990")
-    return F.when(F.length(t).between(2, 3) & digits.rlike("^[0-9]+$"), digits)
+    """Two or three kana of either script read as digits, small kana and length marks left
+    out; null for other words and for those that are never meant so."""
+    from corpuskit.functions.patterns import DIGIT_KANA, NO_READING
+
+    kana = F.translate(c, "".join(map(chr, range(0x30A1, 0x30F7))), "".join(map(chr, range(0x3041, 0x3097))))
+    word = F.regexp_replace(kana, "[ーぁぃぅぇぉゃゅょっ]", "")
+    digits = F.translate(word, "".join(DIGIT_KANA), "".join(d * len(k) for k, d in DIGIT_KANA.items()))
+    return F.when(F.length(word).between(2, 3) & ~word.isin(NO_READING) & digits.rlike("^[0-9]+$") & ~word.rlike("[0-9]"), digits)
 
 
 def reversed_lines(c: Column) -> Column:

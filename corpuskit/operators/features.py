@@ -18,6 +18,7 @@ DENSITIES = {
     "hiragana": "[ぁ-ゖ]", "kanji": "[一-龯々]", "katakana": "[ァ-ヺ]", "half_kana": "[ｦ-ﾟ]", "latin": "[a-zA-Zａ-ｚＡ-Ｚ]", "digits": "[0-9０-９]",
     "polite": "です|ます|でした|ました|ません|でしょう", "first_person": "俺|おれ|オレ|私|僕", "second_person": "お前|おまえ|おまい|君|あんた", "connective": "だから|しかし|だが|さらに|しかも|やはり|なので|ところが|すると",
     "quotative": "という|と言う|といった|と言った|と言うと|と聞く", "hedge": "かもしれ|たぶん|多分|おそらく|思う|みたい|らしい", "nda_ga": "んだが", "karana": "からな",
+    "repeat_symbol": "!{2,}|[?]{2,}|！{2,}|？{2,}|ｗ{2,}|w{2,}|ー{2,}|～{2,}", "be": r"だべ|べ[?？]|べ\n?\z",
 }
 
 
@@ -51,18 +52,20 @@ FEATURES = ["sentence_count", "mean_sentence", *RATES, "parenthetical", "questio
 
 
 def structural_features(docs: DataFrame, text: str = "content") -> DataFrame:
-    """``docs`` and logarithmic lengths, densities per hundred characters and line ratios."""
+    """``docs`` and the 33 structural features: logarithmic lengths, densities per hundred
+    characters and line ratios."""
     c = F.col(text)
     lines = F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    rows = docs.withColumns({"_n": F.greatest(filled(c), F.lit(1)), "_l": lines})
+    rows = docs.withColumns({"_n": F.greatest(filled(c), F.lit(1)), "_l": lines, "_k": F.transform(lines, filled)})
     k = F.greatest(F.size("_l"), F.lit(1))
+    mean_line = F.coalesce(F.aggregate("_k", F.lit(0), lambda a, x: a + x) / F.nullif(F.size("_k"), F.lit(0)), F.lit(0.0))
     share = lambda p: F.size(F.filter("_l", lambda x: x.rlike(p))) / k
     out = {
-        "log_chars": F.log1p(F.col("_n")), "log_lines": F.log1p(k), "newlines": count(c, "\n") * 100 / F.col("_n"),
+        "log_chars": F.log1p(F.col("_n")), "log_lines": F.log1p(k), "log_mean_line": F.log1p(mean_line), "log_max_line": F.log1p(F.coalesce(F.array_max("_k"), F.lit(0))), "newlines": count(c, "\n") * 100 / F.col("_n"),
         **{f"d_{name}": count(c, p) * 100 / F.col("_n") for name, p in DENSITIES.items()},
         "no_stop_lines": share(r"[^。！？!?.…]$"), "no_punct_lines": share("^[^。、]*$"), "period_lines": share("。$"),
     }
-    return rows.withColumns({k2: F.round(v, 6) for k2, v in out.items()}).drop("_n", "_l")
+    return rows.withColumns({k2: F.round(v, 6) for k2, v in out.items()}).drop("_n", "_l", "_k")
 
 
 def baseline(features: DataFrame, names: list[str]) -> DataFrame:

@@ -143,7 +143,7 @@ _SET = r"list_distinct(case when length({0}) >= 3 then list_transform(range(1, l
 ORACLE = {
     "text_features": _F + "select * from f",
     "feature_baseline": _F + " union all ".join(f"select '{k}' as feature, round(avg({k}), 6) as mean, round(stddev_pop({k}), 6) as sd from f" for k in X.FEATURES),
-    "structural_features": "with " + _P + f", q as (select id, content as c, greatest(length(regexp_replace(content, '{_BL}', '', 'g')), 1) as n, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as l from p) select id, round(ln(1 + n), 6) as log_chars, round(ln(1 + greatest(len(l), 1)), 6) as log_lines, round((len(string_split(c, chr(10))) - 1) * 100 / n, 6) as newlines, "
+    "structural_features": "with " + _P + f", q as (select id, content as c, greatest(length(regexp_replace(content, '{_BL}', '', 'g')), 1) as n, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as l from p) select id, round(ln(1 + n), 6) as log_chars, round(ln(1 + greatest(len(l), 1)), 6) as log_lines, round(ln(1 + case when len(l) = 0 then 0 else list_sum(list_transform(l, lambda x: length(regexp_replace(x, '{_BL}', '', 'g')))) / len(l) end), 6) as log_mean_line, round(ln(1 + coalesce(list_max(list_transform(l, lambda x: length(regexp_replace(x, '{_BL}', '', 'g')))), 0)), 6) as log_max_line, round((len(string_split(c, chr(10))) - 1) * 100 / n, 6) as newlines, "
     + ", ".join(f"round({_n('c', p)} * 100 / n, 6) as d_{k}" for k, p in X.DENSITIES.items())
     + ", round(len(list_filter(l, lambda x: regexp_matches(x, '[^。！？!?.…]$'))) / greatest(len(l), 1), 6) as no_stop_lines, round(len(list_filter(l, lambda x: regexp_matches(x, '^[^。、]*$'))) / greatest(len(l), 1), 6) as no_punct_lines, round(len(list_filter(l, lambda x: regexp_matches(x, '。$'))) / greatest(len(l), 1), 6) as period_lines from q",
     "source_profile_rollup": "with " + _P + ", q as (select coalesce(board, '-') as board, length(content) as n, " + ", ".join(f"{_n('content', X.RATES[k])} as {k}" for k in ("first_person", "connective", "certainty"))
