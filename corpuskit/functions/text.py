@@ -158,7 +158,7 @@ def excerpt(c: Column, n: int = 180) -> Column:
 
 def without_anchor_lines(c: Column) -> Column:
     """Lines that hold a reply mark alone are dropped, runs of empty lines made one."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?m)^(?:>>|＞＞)[0-9]+[ 　]*$", ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(c, r"(?md)^(?:>>|＞＞)[0-9]+[ 　]*$", ""), r"\n{3,}", "\n\n")
 
 
 def digit_reading(c: Column) -> Column:

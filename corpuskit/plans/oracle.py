@@ -1,5 +1,5 @@
 """For each query that SQL can express, the SQL it is checked against."""
 
-from corpuskit.plans import advanced, features, relational, retrieval, text, vectors
+from corpuskit.plans import advanced, features, relational, retrieval, styles, text, vectors
 
-ORACLE: dict[str, str] = {**advanced.ORACLE, **features.ORACLE, **relational.ORACLE, **retrieval.ORACLE, **text.ORACLE, **vectors.ORACLE}
+ORACLE: dict[str, str] = {**advanced.ORACLE, **features.ORACLE, **relational.ORACLE, **retrieval.ORACLE, **styles.ORACLE, **text.ORACLE, **vectors.ORACLE}
