@@ -74,11 +74,41 @@ def baseline(features: DataFrame, names: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"))
 
 
+def quantiles(rows: DataFrame, group: list[str], value: str, shares: list[float], discrete: bool = False) -> DataFrame:
+    """(group, q_0, q_1, ...): exact quantiles of a value in each group, linear between two
+    values or, if ``discrete``, the least value that as large a share does not exceed. Nulls
+    are left out.
+
+    Equal values are counted first; the distinct ones are ordered in ranges whose starts are
+    added, so that no task holds the values of a group."""
+    from corpuskit.operators.lineage import cut
+
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    parts = cut(counts.repartitionByRange(*group, "_v").withColumn("_p", F.spark_partition_id()))
+    # One row per task and group.
+    sums = parts.groupBy(*group, "_p").agg(F.sum("_k").alias("_t"))
+    whole = W.partitionBy(*group)
+    sums = sums.withColumn("_n", F.sum("_t").over(whole)).withColumn("_s", F.coalesce(F.sum("_t").over(whole.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    upto = F.sum("_k").over(W.partitionBy("_p", *group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = parts.withColumn("_u", upto).join(sums, [*group, "_p"]).withColumn("_u", F.col("_u") + F.col("_s"))
+    n, out, finish = F.col("_n"), [], []
+    for i, p in enumerate(shares):
+        place = F.ceil(F.lit(p) * n) - 1 if discrete else F.lit(p) * (n - 1)
+        place = F.greatest(place, F.lit(0))
+        at = lambda x: F.max(F.when((F.col("_u") - F.col("_k") <= x) & (x < F.col("_u")), F.col("_v")))
+        out += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.first(place - F.floor(place)).alias(f"_f{i}")]
+        between = F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}"))
+        finish.append((F.col(f"_lo{i}") if discrete else between).alias(f"q_{i}"))
+    return ranked.groupBy(*group).agg(*out).select(*group, *finish)
+
+
 def winsorised_z(rows: DataFrame, names: list[str], p: float = 0.99) -> DataFrame:
     """Each column cut at its ``p`` quantile (linear) and set against mean and population
     deviation of the cut values; a constant column has deviation 1, so z 0."""
-    cuts = rows.agg(*[F.percentile(F.col(n).cast("double"), F.lit(p)).alias(n) for n in names]).first()
-    cut = rows.withColumns({n: F.least(F.col(n).cast("double"), F.lit(cuts[n])) for n in names})
+    long = rows.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).alias("_name", "_value"))
+    # One row per column.
+    cuts = {r["_name"]: r.q_0 for r in quantiles(long, ["_name"], "_value", [p]).collect()}
+    cut = rows.withColumns({n: F.least(F.col(n).cast("double"), F.lit(cuts.get(n))) for n in names})
     m = cut.agg(*[x for n in names for x in (F.avg(n).alias(f"m_{n}"), F.stddev_pop(n).alias(f"s_{n}"))]).first()
     return cut.withColumns({n: (F.col(n) - F.lit(m[f"m_{n}"])) / F.lit(m[f"s_{n}"] or 1.0) for n in names})
 

@@ -69,3 +69,20 @@ def attach_by_key(
             table.filter(F.col(size) <= hot_rows), key
         )
     )
+
+
+def salted_join(many: DataFrame, other: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """Inner join of ``many`` with ``other``, whose rows may be many for a key as well.
+
+    Rows of ``many`` with a key of more than ``hot_rows`` rows are spread over as many tasks,
+    to each of which the rows of ``other`` with that key go. There are at most rows /
+    ``hot_rows`` such keys; without one the join is a plain one. ``many`` is counted once
+    more, so it should be stored."""
+    counts = many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    salts = counts.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    salts = cut(salts)
+    if salts.isEmpty():
+        return many.join(other, key)
+    spread = many.join(F.broadcast(salts), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copied = other.join(F.broadcast(salts), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return spread.join(copied, [key, "_salt"]).drop("_salt")

@@ -157,14 +157,22 @@ def bootstrap_mean(deltas: DataFrame, column: str, rounds: int = 1_000, seed: in
     an empty table."""
     import pyarrow as pa
 
+    # Chances of at most 0, 1, 2, ... for a mean of one, and a number for each round.
+    steps = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+    turn = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+
     def draw(batches):
         total, weight = np.zeros(rounds), np.zeros(rounds)
         for b in batches:
-            x, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
-            for v, s in zip(x, h):
-                n = np.random.default_rng((seed, int(s) & 0x7FFFFFFFFFFFFFFF)).poisson(1.0, rounds)
-                total += n * v
-                weight += n
+            x, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy().view(np.uint64)
+            for begin in range(0, len(x), 256):
+                # A stream of numbers from the row's own: mixed bits as an even share.
+                z = h[begin : begin + 256, None] ^ turn[None]
+                z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                n = np.searchsorted(steps, ((z ^ z >> np.uint64(31)) >> np.uint64(11)) / float(1 << 53), side="right")
+                total += x[begin : begin + 256] @ n
+                weight += n.sum(axis=0)
         yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(total), pa.array(weight)], names=["r", "t", "w"])
 
     # Rows are told apart by a number of their own, so that equal values draw apart.

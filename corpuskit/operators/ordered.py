@@ -100,11 +100,19 @@ def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
         for b in batches:
             both = np.vstack([best, np.column_stack([c.to_numpy() for c in b.columns])])
             both = both[np.lexsort([-both[:, i] for i in reversed(range(len(keys)))])]
-            kept = []
-            for p in both:
-                if not any((q >= p).all() and (q > p).any() for q in kept):
-                    kept.append(p)
-            best = np.array(kept).reshape(-1, len(keys))
+            if len(keys) == 2:
+                # Sorted by the first key, a point stays if it tops all before it in the second.
+                top = np.concatenate([[-np.inf], np.maximum.accumulate(both[:-1, 1])]) if len(both) else np.zeros(0)
+                best = both[both[:, 1] > top]
+                continue
+            kept = np.zeros((0, len(keys)))
+            for begin in range(0, len(both), 256):
+                # A later point cannot beat an earlier one of this order.
+                chunk = both[begin : begin + 256]
+                chunk = chunk[~(kept[None] >= chunk[:, None]).all(axis=2).any(axis=1)]
+                beaten = np.tril((chunk[None] >= chunk[:, None]).all(axis=2), -1).any(axis=1)
+                kept = np.vstack([kept, chunk[~beaten]])
+            best = kept
         yield pa.record_batch([pa.array(best[:, i]) for i in range(len(keys))], names=keys)
 
     schema = ", ".join(f"`{k}` double" for k in keys)

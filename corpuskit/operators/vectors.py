@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpuskit.functions.text import let
 from corpuskit.operators.components import components, node_name
-from corpuskit.operators.lineage import cut
+from corpuskit.operators.lineage import cut, salted_join
 
 
 def term_counts(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
@@ -37,9 +37,10 @@ def vectorise(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query, id, score): dot products of the vectors that share a term."""
+    """(query, id, score): dot products of the vectors that share a term; terms of very many
+    documents are spread over tasks."""
     q = queries.select(F.col("id").alias("query"), "term", F.col("w").alias("qw"))
-    return q.join(vectors, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    return salted_join(vectors, q, "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: list[str] = ("query",)) -> DataFrame:
@@ -78,8 +79,8 @@ def bm25(docs_terms: DataFrame, query_terms: DataFrame, n_docs: int, k1: float =
     df = docs_terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    index = docs_terms.join(idf, "term").join(length, "id").select("id", "term", weight.alias("w"))
-    return query_terms.join(index, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
+    index = cut(docs_terms.join(idf, "term").join(length, "id").select("id", "term", weight.alias("w")))
+    return salted_join(index, query_terms, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
 
 
 def shingle_links(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,7 +111,8 @@ def shingle_links(docs: DataFrame, doc_id: str, tokens: Column, n: int = 5, thre
     place = F.row_number().over(W.partitionBy("key").orderBy("df", "g")) + alone
     prefix = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select("key", "n", "g")
     other = prefix.select(F.col("key").alias("other"), F.col("n").alias("m"), "g")
-    pairs = prefix.join(other, "g").filter((F.col("key") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select("key", "other").distinct()
+    prefix = cut(prefix)
+    pairs = salted_join(prefix, other, "g").filter((F.col("key") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select("key", "other").distinct()
     a, b = reps.select("key", F.col("s").alias("a"), "copies"), reps.select(F.col("key").alias("other"), F.col("s").alias("b"), F.col("copies").alias("other_copies"))
     both = F.size(F.array_intersect("a", "b"))
     links = pairs.join(a, "key").join(b, "other").filter(both / (F.size("a") + F.size("b") - both) >= threshold).select("key", "other", "copies", "other_copies")

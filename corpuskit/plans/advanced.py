@@ -28,11 +28,14 @@ def outside_quote_measures(spark, d):
 
 
 def protected_missing(spark, d):
-    """Protected values of the source that the left text lacks, with multiplicity."""
-    c = _pairs(spark, d).filter("source is not null and leftText is not null")
-    v = lambda col, n: c.select("comparisonId", F.explode(P.protected(col)).alias("v")).groupBy("comparisonId", F.col("v.kind").alias("kind"), F.col("v.raw").alias("raw")).agg(F.count("*").alias(n))
-    j = v("source", "a").join(v("leftText", "b"), ["comparisonId", "kind", "raw"], "left")
-    return j.select("comparisonId", "kind", "raw", (F.col("a") - F.coalesce("b", F.lit(0))).alias("missing")).filter("missing > 0")
+    """Protected values of the source that a side lacks, with multiplicity."""
+    c = _pairs(spark, d).filter("source is not null")
+    sides = c.select("comparisonId", "source", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("leftText").alias("t")), F.struct(F.lit("right").alias("side"), F.col("rightText").alias("t")))).alias("x"))
+    sides = sides.select("comparisonId", "source", "x.side", "x.t").filter("t is not null")
+    key = ["comparisonId", "side"]
+    v = lambda col, n: sides.select(*key, F.explode(P.protected(col)).alias("v")).groupBy(*key, F.col("v.kind").alias("kind"), F.col("v.raw").alias("raw")).agg(F.count("*").alias(n))
+    j = v("source", "a").join(v("t", "b"), [*key, "kind", "raw"], "left")
+    return j.select(*key, "kind", "raw", (F.col("a") - F.coalesce("b", F.lit(0))).alias("missing")).filter("missing > 0")
 
 
 def quantity_table(spark, d):
@@ -64,13 +67,13 @@ def dictionary_rewrite(spark, d):
 
 
 def novelty_classes(spark, d):
-    """Outputs by how close they are to their source: same, near or new, by Dice of trigrams
-    and of structures."""
-    c = _pairs(spark, d).filter("source is not null and leftText is not null")
-    a, b = T.dice(T.gram_set(F.col("source")), T.gram_set(F.col("leftText"))), T.dice(T.gram_set(T.structure(F.col("source"))), T.gram_set(T.structure(F.col("leftText"))))
-    x = c.select("comparisonId", a.alias("surface"), b.alias("shape"))
+    """Outputs of both sides by how close they are to their source: known, adaptation or
+    novel, by Dice of trigrams and of structures (against retrieved texts: novelty_retrieved)."""
+    c = _pairs(spark, d).select("comparisonId", "source", F.explode(F.array("leftText", "rightText")).alias("out")).filter("source is not null and out is not null")
+    a, b = T.dice(T.gram_set(F.col("source")), T.gram_set(F.col("out"))), T.dice(T.gram_set(T.structure(F.col("source"))), T.gram_set(T.structure(F.col("out"))))
+    x = c.select(F.round(a, 6).alias("surface"), F.round(b, 6).alias("shape"))
     k = F.when(F.col("surface") > 0.95, "known").when((F.col("surface") > 0.72) | (F.col("shape") > 0.86), "adaptation").otherwise("novel")
-    return x.groupBy(k.alias("novelty")).agg(F.countDistinct("comparisonId").alias("n"))
+    return x.groupBy(k.alias("novelty")).agg(F.count("*").alias("n"))
 
 
 def kmeans_scan(spark, d):

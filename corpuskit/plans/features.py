@@ -39,9 +39,9 @@ def source_profile_rollup(spark, d):
 
 def quantile_profile(spark, d):
     docs = read_table(spark, d, "documents").filter("text is not null").select(F.coalesce("lang", F.lit("-")).alias("lang"), F.length("text").cast("double").alias("n"))
-    q = F.percentile("n", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)]))
-    return docs.groupBy("lang").agg(F.count("*").alias("k"), q.alias("q"), F.round(F.avg("n"), 4).alias("mean")).select(
-        "lang", "k", "mean", *[F.round(F.col("q")[i], 4).alias(name) for i, name in enumerate(("low", "q25", "median", "q75", "q95", "high"))]
+    q = X.quantiles(docs, ["lang"], "n", [0.0, 0.25, 0.5, 0.75, 0.95, 1.0])
+    return docs.groupBy("lang").agg(F.count("*").alias("k"), F.round(F.avg("n"), 4).alias("mean")).join(q, "lang").select(
+        "lang", "k", "mean", *[F.round(F.col(f"q_{i}"), 4).alias(name) for i, name in enumerate(("low", "q25", "median", "q75", "q95", "high"))]
     )
 
 
@@ -55,9 +55,9 @@ def overlapping_groups(spark, d):
     p = _posts(spark, d).select("content", F.length("content").alias("n"), F.coalesce("board", F.lit("-")).alias("board"))
     bins = F.when(F.col("n") < 50, "len:0-49").when(F.col("n") < 150, "len:50-149").when(F.col("n") < 400, "len:150-399").otherwise("len:400+")
     groups = F.array_compact(F.array(F.lit("all"), F.concat(F.lit("board:"), "board"), bins, F.when(F.col("content").rlike("「|『"), "quoting"), F.when(F.col("content").rlike("https?://"), "linking"), F.when(~F.col("content").rlike("[。、]"), "no_punctuation")))
-    return p.select(F.explode(groups).alias("grp"), "n", X.count(F.col("content"), "。").alias("k")).groupBy("grp").agg(
-        F.count("*").alias("posts"), F.sum("n").alias("chars"), F.round(100 * F.sum("k") / F.greatest(F.sum("n"), F.lit(1)), 5).alias("periods_100"), F.round(F.median("n"), 2).alias("median_chars")
-    )
+    x = p.select(F.explode(groups).alias("grp"), "n", X.count(F.col("content"), "。").alias("k"))
+    sums = x.groupBy("grp").agg(F.count("*").alias("posts"), F.sum("n").alias("chars"), F.round(100 * F.sum("k") / F.greatest(F.sum("n"), F.lit(1)), 5).alias("periods_100"))
+    return sums.join(X.quantiles(x, ["grp"], "n", [0.5]), "grp").select("grp", "posts", "chars", "periods_100", F.round("q_0", 2).alias("median_chars"))
 
 
 def spearman(spark, d):
@@ -93,7 +93,8 @@ def auc_with_ties(spark, d):
 
 def nearest_rank_p95(spark, d):
     e = read_table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("value").alias("n"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    q = X.quantiles(e, ["event_type"], "value", [0.95], discrete=True)
+    return e.groupBy("event_type").agg(F.count("value").alias("n")).join(q, "event_type", "left").select("event_type", "n", F.col("q_0").alias("p95"))
 
 
 def surface_report(spark, d):

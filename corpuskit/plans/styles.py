@@ -452,4 +452,5 @@ ORACLE: dict[str, str] = {
     "novelty_retrieved": _SIM + ", near as (select *, row_number() over (partition by query order by score desc, id) as rank from s), st as (select doc_id as id, " + _PLAIN.format("text") + " as a, " + _PLAIN.format(_SHAPE.format("text")) + " as b from documents where text is not null), g as (select id, " + _TRI.format("a") + " as g, " + _TRI.format("b") + " as h from st), x as (select query, near.id, rank, " + _DICE.format("g.g", "q.g") + " as surface, " + _DICE.format("g.h", "q.h") + " as shape from near join g on g.id = near.id join g q on q.id = query where rank <= 30), m as (select query, max(surface) as surface, max(shape) as shape, max(case when rank = 1 then id end) as nearest from x group by 1) select *, case when surface > 0.95 then 'known' when surface > 0.72 or shape > 0.86 then 'adaptation' else 'novel' end as novelty from m",
     "dice_split_components": 'with recursive c as (select distinct comparisonId, "group" as gr, postId, family, source, ' + _PLAIN.format("source") + ' as a from comparisons where comparisonId is not null), tx as (select source, ' + _TRI.format("a") + " as g from (select distinct source, a from c where length(a) > 0)), gs as (select source, unnest(g) as t, len(g) as n from tx), lk as (select x.source as s1, y.source as s2 from gs x join gs y on x.t = y.t and x.source < y.source group by 1, 2 having 2.0 * count(*) / (max(x.n) + max(y.n)) >= 0.85), "
     "e as (select distinct comparisonId as c, unnest(list_filter(['g' || gr, 'p' || postId, 'f' || family, case when length(a) > 0 then 's' || source end], lambda x: x is not null)) as k from c union select c.comparisonId, 'l' || s1 || chr(1) || s2 from lk join c on c.source in (s1, s2)), r(c, d) as (select distinct comparisonId, comparisonId from c union select r.c, b.c from r join e a on a.c = r.d join e b on b.k = a.k), m as (select c, min(d) as least, count(distinct d) as size from r group by 1) select c as comparisonId, least, size, case when h < 7 then 'train' when h < 9 then 'validation' else 'test' end as split from (select *, ('0x' || substr(sha256(least), 1, 8))::bigint % 10 as h from m)",
+    "novelty_classes": "with c as (select distinct comparisonId, source, leftText, rightText from comparisons where comparisonId is not null), o as (select source, unnest([leftText, rightText]) as o from c), p as (select " + _PLAIN.format("source") + " as a, " + _PLAIN.format("o") + " as b, " + _PLAIN.format(_SHAPE.format("source")) + " as c, " + _PLAIN.format(_SHAPE.format("o")) + " as d from o where source is not null and o is not null), g as (select " + ", ".join(_TRI.format(k) + f" as {k}" for k in "abcd") + " from p), x as (select " + _DICE.format("a", "b") + " as surface, " + _DICE.format("c", "d") + " as shape from g) select case when surface > 0.95 then 'known' when surface > 0.72 or shape > 0.86 then 'adaptation' else 'novel' end as novelty, count(*) as n from x group by 1",
 }

@@ -9,6 +9,10 @@ from corpuskit.operators import vectors as V
 from corpuskit.operators.lineage import cut, read_table
 
 
+#: Terms that the registered queries keep; an option of the vocabulary, whose default is 30,000.
+VOCABULARY = 50_000
+
+
 def _counts(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang").filter("text is not null")
     return docs, cut(V.term_counts(docs, "doc_id", T.words(F.col("text"))))
@@ -16,7 +20,7 @@ def _counts(spark, d):
 
 def _model(spark, d):
     docs, counts = _counts(spark, d)
-    vocab = cut(V.vocabulary(counts, docs.count(), size=50_000))
+    vocab = cut(V.vocabulary(counts, docs.count(), size=VOCABULARY))
     return docs, counts, vocab, cut(V.vectorise(counts, vocab))
 
 
@@ -27,7 +31,7 @@ def _queries(vectors):
 
 def tfidf_vocab(spark, d):
     docs, counts = _counts(spark, d)
-    return V.vocabulary(counts, docs.count(), size=50_000).select("term", "df", "tf", F.round("idf", 6).alias("idf"), F.round("importance", 5).alias("importance"))
+    return V.vocabulary(counts, docs.count(), size=VOCABULARY).select("term", "df", "tf", F.round("idf", 6).alias("idf"), F.round("importance", 5).alias("importance"))
 
 
 def tfidf_topk_search(spark, d):
@@ -154,13 +158,20 @@ def _emb_scores(spark, d, k):
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 own, lab = b.column(0).to_numpy(), b.column(2).to_pylist()
                 s = np.round(qm @ m.T, 9)
+                most = min(k + 1, s.shape[1])
+                # All that reach the score of the last place, so that ties are broken by id.
+                floor = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
                 for i in range(len(qi)):
-                    at = np.lexsort((own, -s[i]))[: k + 1]
+                    at = np.flatnonzero(s[i] >= floor[i])
+                    at = at[np.lexsort((own[at], -s[i][at]))][: k + 1]
                     best[i] = sorted(best[i] + [(-s[i][j], int(own[j]), lab[j]) for j in at if own[j] != qi[i]])[:k]
             out = [(int(qi[i]), x[1], -x[0], ql[i], x[2]) for i in range(len(qi)) for x in best[i]]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=["query", "id", "score", "query_label", "label"])
 
-        return e.mapInArrow(run, "query long, id long, score double, query_label int, label int")
+        # Stored before the next block, so that neither the driver nor a task holds two.
+        found = cut(e.mapInArrow(run, "query long, id long, score double, query_label int, label int"))
+        shared.destroy()
+        return found
 
     for r in rows:
         held.append(r)
