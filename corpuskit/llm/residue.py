@@ -11,6 +11,7 @@ many authors and mostly stand beside lines of a kind, which is learned from all
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -56,22 +57,45 @@ EXPLAINS = (
 _CODE = r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)|<code>.*?</code>|<pre>.*?</pre>"
 _INLINE = r"`[^`\n]+`"
 
-def _words(spaced: str, joined: str = "", endings: str = r"[\p{IsLatin}\p{IsDevanagari}]{0,4}") -> str:
-    """A pattern for any of the words: ``spaced`` ones stand alone, but for an ending; ``joined``
-    ones, of scripts without blanks, may stand anywhere. A tilde is a blank or an apostrophe."""
-    order = lambda t: sorted((w.replace("~", "[ '’]?") for w in t.split()), key=len, reverse=True)
-    return "(?:" + "|".join([*([r"(?<![\p{L}\p{M}])(?:" + "|".join(order(spaced)) + f"){endings}" + r"(?![\p{IsLatin}\p{IsDevanagari}\p{M}])"] if spaced else []), *order(joined)]) + ")"
+def _tree(words: list[str]) -> str:
+    """One pattern for any of the words, the longest first, common beginnings matched once."""
+    by = {}
+    for w in words:
+        by.setdefault(w[:1], set()).add(w[1:])
+    ends = by.pop("", None) is not None
+    unit = lambda c: "[ '’]?" if c == "~" else re.escape(c)
+    branches = [unit(c) + _tree(sorted(rest)) for c, rest in sorted(by.items())]
+    if not branches:
+        return ""
+    return "(?:" + "|".join(branches) + ")" + ("?" if ends else "")
+
+
+def _words(*lists: tuple[str, str], endings: str = r"[\p{IsLatin}\p{IsDevanagari}]{0,4}") -> str:
+    """A pattern for any of the words of (spaced, joined) lists: ``spaced`` ones stand alone,
+    but for an ending; ``joined`` ones, of scripts without blanks, may stand anywhere. A tilde
+    is a blank or an apostrophe or nothing; words with other signs are patterns."""
+    out = []
+    for k, (begin, end) in enumerate(((r"(?<![\p{L}\p{M}])", endings + r"(?![\p{IsLatin}\p{IsDevanagari}\p{M}])"), ("", ""))):
+        words = sorted({w for pair in lists for w in pair[k].split()})
+        odd = [w.replace("~", "[ '’]?") for w in words if re.search(r"[\[({?+\\]", w)]
+        plain = [w for w in words if not re.search(r"[\[({?+\\]", w)]
+        # Most places are passed over by their first sign.
+        first = "".join(sorted({w[0] for w in plain}))
+        any_of = "|".join([*([f"(?=[{first}]){_tree(plain)}"] if plain else []), *odd])
+        if any_of:
+            out.append(f"{begin}(?:{any_of}){end}")
+    return "(?:" + "|".join(out) + ")"
 
 
 # The vocabularies of the kinds, by what a word means. A word stands for all
 # that begin like it.
-THINGS = _words(
+THINGS = (
     "page url link file document thread topic board post article site website server service request address content database connection access session browser gateway host index upstream parameter "
     "seite server datei dokument beitrag thema dienst anfrage adresse inhalt datenbank verbindung zugriff sitzung page fichier document sujet serveur service demande requête adresse contenu base accès session connexion lien "
     "पृष्ठ पेज सर्वर स्थान फ़ाइल अनुरोध",
     "ページ サイト サーバ スレッド ファイル データベース アクセス リクエスト アドレス 記事 投稿 掲示板 接続 コンテンツ 画面 権限 内部 页面 网页 服务器 链接 文件 帖子 连接 数据库 请求 页 페이지 서버 요청 파일 게시 주소 연결 접속 หน้า เซิร์ฟเวอร์ ไฟล์ เว็บ คำขอ",
 )
-FAILURES = _words(
+FAILURES = (
     "not~found could~n[o']t~(?:be~)?(?:found|find|open|load|reach|connect|display|process) couldn~t can~?not can~t unable fail does~n[o']t~exist doesn~t no~longer unavailable not~available denied forbidden unauthorized blocked refused "
     "timed~out time-?out did~not~answer did~not~respond too~many went~wrong error exception overload busy removed deleted moved missing invalid bad expired temporarily~(?:down|unavailable) try~again "
     "nicht~gefunden nicht~erreichbar nicht~verfügbar nicht~gefunden~werden existiert~nicht verweigert gesperrt fehler fehlgeschlagen überlastet gelöscht ungültig abgelaufen "
@@ -79,33 +103,32 @@ FAILURES = _words(
     "見つか(?:りません|らない|らず)(?:でした)? 存在し(?:ません|ない) ありません 表示(?:でき(?:ません|ない)|に失敗) 利用(?:いただけません|できません) 開けません エラー 失敗 拒否 混雑 集中 発生し 落ち 停止 つなが(?:りません|らない) 削除 移動 権限がありません 期限 無効 "
     "不存在 找不到 未找到 无法 错误 出错 失败 拒绝 超时 已删除 已被删除 찾을~?수~?없 존재하지~?않 없습니다 오류 실패 거부 삭제 이용할~?수~?없 ไม่พบ ไม่สามารถ ข้อผิดพลาด ปฏิเสธ ล้มเหลว",
 )
-SCRIPTS = _words("java~?scripts? scripts? scripting noscript browser~check dynamic जावास्क्रिप्ट स्क्रिप्ट", "スクリプト ｽｸﾘﾌﾟﾄ ジャバスクリプト 脚本 자바스크립트 스크립트 จาวาสคริปต์ สคริปต์")
-DEMANDS = _words(
+SCRIPTS = ("java~?scripts? scripts? scripting noscript browser~check dynamic जावास्क्रिप्ट स्क्रिप्ट", "スクリプト ｽｸﾘﾌﾟﾄ ジャバスクリプト 脚本 자바스크립트 스크립트 จาวาสคริปต์ สคริปต์")
+DEMANDS = (
     "enable turn activate allow switch requir need must necessary disabled turned off not~support does~n[o']t~support without loaded checking aktivier benötig erforderlich einschalten deaktiviert ausgeschaltet notwendig erlauben "
     "activ autoris nécessaire requis désactivé besoin requiert सक्षम चालू आवश्यक",
     "有効 必要 無効 オン オフ 許可 未対応 対応していません 動作しません 启用 开启 打开 需要 禁用 允许 支持 켜 활성화 비활성화 필요 허용 사용 เปิด ต้อง จำเป็น อนุญาต",
 )
-PARTS = _words(
+PARTS = (
     "text copy content body paragraph sentence headline heading title caption description image article section placeholder topic blindtext mustertext fülltext platzhalter absatz überschrift beschreibung inhalt texte paragraphe titre contenu légende पाठ सामग्री शीर्षक",
     "テキスト 本文 見出し 段落 説明 タイトル 文章 文 内容 コメント 画像 紹介 文字 文本 正文 标题 内容 段落 텍스트 본문 내용 제목 문장 문구 설명 ข้อความ เนื้อหา หัวข้อ",
 )
-PROVISIONAL = _words(
+PROVISIONAL = (
     "sample dummy placeholder filler goes~here here to~follow follows to~come to~be~(?:added|written|replaced|inserted|determined|announced) will~(?:be|appear|follow|go|come) replace insert write type layout only later shortly soon coming example mock lorem edit~this add~your your "
     "hier stelle folgt ersetzen einfügen blindtext platzhalter muster beispiel später ici provisoire factice exemple remplacer venir insérer saisir यहाँ नमूना उदाहरण बाद",
     "サンプル ダミー 仮 ここ このあたり この部分 こちらに 入ります 入る 入れ 差し替え 置き換え 置い あと 後で 後日 予定 追加 記入 入力 例文 此处 这里 示例 占位 替换 待补 稍后 填写 여기 예시 샘플 임시 나중 추후 입력 ตัวอย่าง ที่นี่ ภายหลัง",
 )
-PENDING = _words(
+PENDING = (
     "under~construction coming~soon work~in~progress to~be~(?:announced|determined|written|confirmed|continued) tbd tba tbc wip not~yet check~back stay~tuned in~(?:arbeit|kürze|bearbeitung|vorbereitung) im~aufbau demnächst en~(?:construction|travaux|préparation|cours) bientôt prochainement à~venir निर्माणाधीन जल्द",
     "工事中 準備中 作成中 制作中 製作中 執筆中 整備中 調整中 改装中 近日 未定 公開予定 乞うご期待 しばらくお待ち 建设中 施工中 敬请期待 即将 待定 준비~?중 공사~?중 제작~?중 작성~?중 곧 미정 อยู่ระหว่าง กำลังปรับปรุง กำลังจัดทำ เร็วๆ~?นี้",
 )
-TRIALS = _words("tests? testing testpost asdf\\w*+ qwert\\w*+ foo bar blah x{3,} ｔｅｓｔ ｔｅｓｔｉｎｇ prueba essai versuch टेस्ट परीक्षण", "テスト てすと ﾃｽﾄ 测试 試驗 테스트 ทดสอบ")
+TRIALS = ("tests? testing testpost asdf\\w*+ qwert\\w*+ foo bar blah x{3,} ｔｅｓｔ ｔｅｓｔｉｎｇ prueba essai versuch टेस्ट परीक्षण", "テスト てすと ﾃｽﾄ 测试 試驗 테스트 ทดสอบ")
 # What stands around such words and says nothing of its own.
-SMALL = _words(
+SMALL = (
     "a an the this that these those is are was were be been it its to of in on at by for from with without and or but as if then than please sorry oops you your we our i my us can could may might will would should has have had do does did not no so before after again back go return check reload "
     "retry refresh settings configuration minutes? seconds? moment home contact administrator admin owner webmaster site~owner more again~later some any all there here what which who when where something anything just now currently still view display show continue load loading see read visit use using properly viewed requested looking moved removed deleted "
     "der die das den dem ein eine einen bitte um zu und oder ist sind wird werden wurde diese dieser dieses ihr ihre ihren sie es im in an auf mit von für nicht derzeit anzuzeigen angezeigt forum le la les un une des de du ce cet cette ces est sont pour et ou dans sur vous votre veuillez pas afficher fil affichage demandée? actuellement temporairement momentanément यह है हैं कृपया के को का की में और से नहीं करें",
     "この その あの お使い ご確認 確認 再度 再読み込み もう一度 お試し 時間 設定 管理者 連絡 お探し 申し訳 ただいま 現在 ご迷惑 しばらく お待ち ください 下さい 过去 过去ログ 過去ログ 倉庫 格納 閲覧 表示 実行 读取 您 请 本 该 此 的 了 在 是 后 再 访问 查看 抱歉 对不起 重新 刷新 이 그 저 을 를 이 가 은 는 에 의 하려면 보려면 주세요 하세요 하십시오 합니다 습니다 입니다 원하신 요청하신 죄송 이용 게시판 발생 잠시 후 다시 시도 확인 กรุณา โปรด ที่ คุณ ต้องการ ใน และ ของ ได้ ใช้งาน หน้านี้ กลับ ลอง ใหม่ ขออภัย",
-    "",
 )
 # Forms that servers and programs give their messages, whatever the words.
 FORMS = (
@@ -164,18 +187,18 @@ def line_kind(line: Column) -> Column:
 
     What a line quotes is not what it says, and addresses and paths are no words; kana endings
     count neither for nor against a kind."""
-    own = "(?iu)" + "|".join((FAILURES, THINGS, SCRIPTS, DEMANDS, PROVISIONAL, PARTS, PENDING, TRIALS, SMALL))
+    own = "(?iu)" + "|".join((_words(FAILURES, THINGS, SCRIPTS, DEMANDS, PROVISIONAL, PARTS, PENDING), _words(TRIALS, SMALL, endings="")))
     latin = r"(?i)(?<!\p{L})(?:" + "|".join(LATIN_FILLER) + r")(?!\p{L})"
     said = F.regexp_replace(line, r"『[^『』]*+』|「[^「」]*+」|“[^“”]*+”|\"[^\"]*+\"|https?://\S+|(?<![\p{L}])/[\w./?=&-]+|(?<!\S)[^\s@]++@\S++", " ")
     other = lambda t, p: F.length(F.regexp_replace(F.regexp_replace(t, p, " "), r"[^\p{L}]+|[ぁ-ん]+", ""))
 
     def of(t):
-        says = lambda *p: reduce(lambda a, b: a & b, [t.rlike("(?iu)" + x) for x in p])
+        says = lambda *p: reduce(lambda a, b: a & b, [t.rlike("(?iu)" + _words(*x)) for x in p])
         # Loops over words are not left to patterns, which would go as deep as a line is long.
-        parts = (F.regexp_count(t, F.lit("(?iu)" + PARTS)) >= 3) & (F.regexp_replace(t, rf"(?iu){PARTS}|\P{{L}}+", "") == "")
+        parts = (F.regexp_count(t, F.lit("(?iu)" + _words(PARTS))) >= 3) & (F.regexp_replace(t, rf"(?iu){_words(PARTS)}|\P{{L}}+", "") == "")
         again = let(F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.size(w) > 1) & (F.size(F.array_distinct(w)) == 1) & (F.length(F.try_element_at(w, F.lit(1))) > 1))
         kind = (
-            F.when(says(SCRIPTS, f"{DEMANDS}|{FAILURES}"), "notice").when(says(FAILURES, THINGS), "error").when(says(PENDING), "stand_in").when(says(PROVISIONAL, PARTS), "filler").when(says(TRIALS), "stand_in")
+            F.when(says((SCRIPTS,), (DEMANDS, FAILURES)), "notice").when(says((FAILURES,), (THINGS,)), "error").when(says((PENDING,)), "stand_in").when(says((PROVISIONAL,), (PARTS,)), "filler").when(t.rlike("(?iu)" + _words(TRIALS, endings="")), "stand_in")
             .when(parts | again, "filler")
         )
         words = other(t, "^$")
@@ -193,7 +216,8 @@ def line_kind(line: Column) -> Column:
 def _gate() -> str:
     """What every line of a kind has at least one of."""
     lone = r"(?<!\p{L})(?:" + "|".join(LATIN_FILLER[:2] + ["amet", "adipiscing", "tempor", "incididunt", "nostrud", "veniam"]) + r")(?!\p{L})"
-    return rf"(?m)(?iu:{FAILURES}|{SCRIPTS}|{PROVISIONAL}|{PENDING}|{TRIALS}|{lone}|{PARTS}\P{{L}}*{PARTS}\P{{L}}*{PARTS})|^[^\p{{L}}\p{{N}}\n]*(?:{FORMS})|(?<!\p{{L}})(\p{{L}}{{2,}}+)[\s,、　]+\1(?!\p{{L}})"
+    words, parts = "|".join((_words(FAILURES, SCRIPTS, PROVISIONAL, PENDING), _words(TRIALS, endings=""))), _words(PARTS)
+    return rf"(?m)(?iu:{words}|{lone}|{parts}\P{{L}}*+{parts}\P{{L}}*+{parts})|^[^\p{{L}}\p{{N}}\n]*(?:{FORMS})|(?<!\p{{L}})(\p{{L}}{{2,}}+)[\s,、　]+\1(?!\p{{L}})"
 
 
 def residue_cases(docs: DataFrame, text: str = "text", author: str | None = "author_id") -> DataFrame:
