@@ -76,8 +76,8 @@ def baseline(features: DataFrame, names: list[str]) -> DataFrame:
 
 def quantiles(rows: DataFrame, group: list[str], value: str, shares: list[float], discrete: bool = False) -> DataFrame:
     """(group, q_0, q_1, ...): exact quantiles of a value in each group, linear between two
-    values or, if ``discrete``, the least value that as large a share does not exceed. Nulls
-    are left out.
+    values or, if ``discrete``, the least value that as large a share does not exceed. Null values
+    and groups with a null key are left out.
 
     Equal values are counted first; the distinct ones are ordered in ranges whose starts are
     added, so that no task holds the values of a group."""
