@@ -301,5 +301,7 @@ def p9_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy on held-out labelled documents, the share of the largest source beside."""
-    return spark.createDataFrame([_mix(spark, sf_dir)[3]], "held_out long, accuracy double, largest double, temperature double")
+    """Accuracy on held-out labelled documents, the share of the largest source beside; no
+    row without such documents."""
+    report = _mix(spark, sf_dir)[3]
+    return spark.createDataFrame([report] if report[0] else [], "held_out long, accuracy double, largest double, temperature double")
