@@ -10,7 +10,7 @@ from test_oracle import plain
 from corpuskit.operators import scoring as S, vectors as V
 from corpuskit.plans import oracle, registry, retrieval
 
-NAMES = ["tfidf_topk_search", "knn_classify", "blended_rank", "nn_length_matched", "bm25_search", "hybrid_retrieval"]
+NAMES = ["tfidf_topk_search", "knn_classify", "blended_rank", "nn_length_matched", "bm25_search", "hybrid_retrieval", "novelty_retrieved"]
 
 
 @pytest.mark.parametrize("name", NAMES)
