@@ -40,3 +40,17 @@ def test_rows_of_one_id_are_one_text(spark):
     texts, rows = S.whole(docs, "doc_id", F.split("text", " "), F.col("text").alias("t"))
     assert {r.id: sorted(r.words) for r in texts.collect()} == {1: ["a", "b", "b", "c"], 2: ["b"], 3: [""]}
     assert sorted((r.id, r.t, len(r.words)) for r in rows.collect()) == [(1, "a b", 4), (1, "b c", 4), (2, "b", 1), (3, "", 1)]
+
+
+@pytest.mark.parametrize("name", ["near_dup_classes"])
+def test_no_broadcast_of_shingles(spark, data, monkeypatch, name):
+    stored, plans = V.cut, []
+
+    def watched(df):
+        out = stored(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(V, "cut", watched)
+    registry.QUERIES[name](spark, data).collect()
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
