@@ -42,7 +42,7 @@ def test_rows_of_one_id_are_one_text(spark):
     assert sorted((r.id, r.t, len(r.words)) for r in rows.collect()) == [(1, "a b", 4), (1, "b c", 4), (2, "b", 1), (3, "", 1)]
 
 
-@pytest.mark.parametrize("name", ["near_dup_classes"])
+@pytest.mark.parametrize("name", ["near_dup_classes", "leak_anti_join"])
 def test_no_broadcast_of_shingles(spark, data, monkeypatch, name):
     stored, plans = V.cut, []
 
