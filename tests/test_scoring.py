@@ -54,3 +54,23 @@ def test_no_broadcast_of_shingles(spark, data, monkeypatch, name):
     monkeypatch.setattr(V, "cut", watched)
     registry.QUERIES[name](spark, data).collect()
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_links_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for i in range(120):
+        base = texts[rng.randrange(len(texts))].split() if texts and i % 3 else [rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(1, 30))]
+        texts.append(" ".join(w for w in base if rng.random() > 0.06) or "x")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sets = [{tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} for w in map(str.split, texts)]
+    for threshold in (0.5, 0.85 / 1.15, 0.8):
+        want = {(i, j) for i in range(120) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+        ids, _, links = V.shingle_links(docs, "id", F.split("t", " "), n=2, threshold=threshold)
+        of = {}
+        for r in ids.collect():
+            of.setdefault(r.key, []).append(r.id)
+        got = {(max(i, j), min(i, j)) for r in links.collect() for i in of[r.key] for j in of[r.other]}
+        assert got == want
