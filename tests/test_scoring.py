@@ -82,3 +82,23 @@ def test_starts_come_in_blocks(spark, data, monkeypatch):
     df = registry.QUERIES["containment_links"](spark, data)
     assert sorted(tuple(r) for r in df.collect()) == whole
     assert "BroadcastHashJoin LeftSemi" in df._jdf.queryExecution().executedPlan().toString() or "LeftSemi, BuildRight" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("caps", [(1_800, 800, 700), (3, 2, 4), (40, 1, 1), (1, 1, 90)])
+def test_unions_are_counted_without_pairs(spark, data, monkeypatch, caps):
+    def pairs(*_):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(V, "similarities", pairs)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(S, "CELLS", 30)
+    monkeypatch.setattr(S, "PRODUCTS", 50)
+    monkeypatch.setattr(S, "SCORE_BINS", 16)
+    ours = sorted(tuple(r) for r in registry.QUERIES["candidate_union"](spark, data, *caps).select("query", "n_candidates").collect())
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    sql = oracle.ORACLE["candidate_union"]
+    for name, ours_n in zip(("1800", "800", "700"), caps):
+        assert sql.count(f"rn <= {name}") == 1
+        sql = sql.replace(f"rn <= {name}", f"rn <= {ours_n}")
+    assert ours == sorted(c.execute(f"select query, n_candidates from ({sql})").fetchall())
