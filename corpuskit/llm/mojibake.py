@@ -4,7 +4,7 @@ A character bigram model with smoothing is trained on the records that show no t
 wrong decoding. Each other field is taken apart into the stretches that a wrong codec could
 have produced; every chain of encoding by the wrong codec and decoding by the right one is
 scored by the model, and the likeliest is accepted if it gains more than a margin. The margin
-is validated: it lies below what the right chain gains on copies of clean records that were
+is validated: it lies below what the right chain gains on copies of all clean records that were
 garbled on purpose, and in the gap that the gains of all traced records leave, above those
 that are as they should be.
 """
@@ -23,8 +23,6 @@ from corpuskit.operators.lineage import cut, read_table
 
 #: Bins of the model; a fixed size, whatever the corpus.
 PAIR_BINS, CHAR_BINS = 1 << 20, 1 << 16
-#: Clean records that are garbled on purpose; they bound the margin from above.
-VALIDATION_RECORDS = 300
 #: Least margin, in natural-log units.
 LEAST_MARGIN = 4.0
 FIELDS = ("content", "threadTitle")
@@ -198,13 +196,22 @@ class Model:
     def fold(p: np.ndarray) -> np.ndarray:
         return np.where((p >= 0x30) & (p <= 0x39), 0x30, p).astype(np.uint32)
 
-    def score(self, s: str) -> float:
-        """Natural logarithm of the likelihood of a line."""
-        p = self.fold(_points(s))
+    def _steps(self, points: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the likelihood of each character after the one before."""
+        p = self.fold(points)
         c = _char_bins(p)
         single = (self.chars[c[1:]] + 0.01) / (self.total + 0.01 * 1_114_112)
         before = self.chars[c[:-1]]
-        return float(np.log((self.pairs[_pair_bins(p)] + 2.0 * single) / (before + 2.0)).sum())
+        return np.log((self.pairs[_pair_bins(p)] + 2.0 * single) / (before + 2.0))
+
+    def score(self, s: str) -> float:
+        """Natural logarithm of the likelihood of a line."""
+        return float(self._steps(_points(s)).sum())
+
+    def scores(self, points: np.ndarray) -> np.ndarray:
+        """The same of each of many lines, given with a line end before, between and after them."""
+        ends = np.flatnonzero(points == 10)
+        return np.add.reduceat(self._steps(points), ends[:-1], dtype=np.float64) if len(ends) > 1 else np.zeros(0)
 
 
 def plausible(old: str, new: str, model: Model) -> bool:
@@ -405,25 +412,27 @@ def fields(posts: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
 _SCAN = "kind string, bin long, n long, id string, field string, text string"
 
 
+def _of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the texts of a batch, the row of each, and where each text begins."""
+    n = len(batch)
+    column = batch.column(2).cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    raw = bytes(memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+    data = np.frombuffer(raw, np.uint8)
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets - offsets[0]]
+    points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.repeat(np.arange(n), np.diff(begins)), begins
+
+
 def scan(texts: DataFrame) -> DataFrame:
     """One pass over ``texts`` (id, field, text): the surely traced rows (suspect), the other
-    traced rows (maybe), the character and pair counts of all but the suspects per task, and
-    each task's untraced rows that come first in hash order."""
+    traced rows (maybe), and the character and pair counts of all but the suspects per task."""
 
     def read(batches):
-        import hashlib
-        import heapq
-
-        pairs, chars, first = np.zeros(PAIR_BINS, np.int64), np.zeros(CHAR_BINS, np.int64), []
+        pairs, chars = np.zeros(PAIR_BINS, np.int64), np.zeros(CHAR_BINS, np.int64)
         for batch in batches:
             n = len(batch)
-            column = batch.column(2).cast(pa.large_string())
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-            raw = bytes(memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]])
-            data = np.frombuffer(raw, np.uint8)
-            begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets - offsets[0]]
-            points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            rows = np.repeat(np.arange(n), np.diff(begins))
+            points, rows, begins = _of_batch(batch)
             traced, every = surely_traced_rows(points, rows, n), traced_rows(points, rows, n)
             for kind, which in (("suspect", traced), ("maybe", every & ~traced)):
                 k = int(which.sum())
@@ -439,22 +448,10 @@ def scan(texts: DataFrame) -> DataFrame:
             if len(p) > 1:
                 pairs += np.bincount(_pair_bins(p), minlength=PAIR_BINS)
                 chars += np.bincount(_char_bins(p), minlength=CHAR_BINS)
-            foreign = np.bincount(rows[points >= 0x80], minlength=n) > 0
-            for i in np.flatnonzero(~every & foreign):
-                key = int.from_bytes(hashlib.blake2b(raw[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]], digest_size=8).digest(), "big")
-                if len(first) < VALIDATION_RECORDS or key < -first[0][0]:
-                    heapq.heappush(first, (-key, column[int(i)].as_py()))
-                    if len(first) > VALIDATION_RECORDS:
-                        heapq.heappop(first)
         for kind, a in (("pair", pairs), ("char", chars)):
             at = np.flatnonzero(a)
             k = len(at)
             yield pa.record_batch([pa.array([kind] * k, pa.string()), pa.array(at), pa.array(a[at]), *(pa.nulls(k, pa.string()) for _ in range(3))], names=["kind", "bin", "n", "id", "field", "text"])
-        k = len(first)
-        yield pa.record_batch(
-            [pa.array(["sample"] * k, pa.string()), pa.array([(-a) >> 1 for a, _ in first], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.array([t for _, t in first], pa.string())],
-            names=["kind", "bin", "n", "id", "field", "text"],
-        )
 
     return texts.select("id", "field", "text").mapInArrow(read, _SCAN)
 
@@ -516,20 +513,132 @@ def garble(text: str) -> list[str]:
     return [g for g in out if g != text]
 
 
-def least_true_gain(clean: list[str], model: Model) -> float:
-    """What the right chain gains on all but one in a thousand lines of clean records, each
-    garbled on purpose in every way that a chain undoes."""
-    true = []
-    for text in clean:
-        for line in text.split("\n"):
-            if line.isascii():
+#: Bins of the gains of garbled lines per natural-log unit, and the gain from which on all are one.
+TRUE_BINS, TRUE_MOST = 64, 1_000
+
+
+def true_gains(lines: list[str], model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(which, gains) for each way of garbling: what the right chain gains on those of the
+    ``lines``, none of them ASCII alone, that are garbled so and that it gives back.
+
+    The garbled copies are those of ``garble`` and given back are those that ``candidates``
+    reads as they were, told for all lines at once: a line is one run of the wrong codec if
+    it holds no control character; lines with one, and of double-byte codecs those with a
+    character beyond the first plane, are asked of ``candidates`` itself."""
+    known, out = Codecs.get(), []
+    if not lines:
+        return out
+    utf8 = [line.encode("utf-8", "replace") for line in lines]
+    own = model.scores(_points("\n".join(lines)))
+    odd = np.array([re.search("[\x00-\x1f\x7f]", line.rstrip("\r")) is not None for line in lines])
+    beyond = np.array([max(line) > "\uffff" for line in lines])
+    lone = np.array([re.search("[\ud800-\udfff]", line) is not None for line in lines])
+
+    def add(which, points):
+        which = np.asarray(which, np.int64)
+        if len(which):
+            out.append((which, own[which] - model.scores(points)))
+
+    def laid(raw: list[bytes], table: np.ndarray):
+        return table[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)]
+
+    def read_back(i: int, bad: str) -> bool:
+        return any(new == lines[i] for _, new in candidates(bad))
+
+    tables = {name: np.array([ord(c) for c in _byte_table(name)], np.uint32) for name in SINGLE}
+    whole = np.flatnonzero(~lone)
+    for wrong in SINGLE:
+        # What is UTF-8 is found in a run wherever it stands.
+        add(whole, laid([utf8[i] for i in whole], tables[wrong]))
+    for wrong in MULTI:
+        which, bad = [], []
+        for i in whole:
+            try:
+                b = utf8[i].decode(wrong)
+            except UnicodeDecodeError:
+                continue
+            if "\n" not in b and b != lines[i] and (read_back(i, b) if odd[i] or beyond[i] or "\ufffd" in b else _encodes(b, wrong) == utf8[i]):
+                which.append(i)
+                bad.append(b)
+        add(which, _points("\n".join(bad)))
+    for right in LEGACY:
+        which, bad = [], []
+        for i in whole:
+            raw = _encodes(lines[i], right)
+            if raw is None:
                 continue
-            for bad in garble(line):
-                base_bad = model.score(bad)
-                gains = [model.score(new) - base_bad for _, new in candidates(bad) if new == line]
-                if gains:
-                    true.append(max(gains))
-    return float(np.quantile(true, 0.001)) if true else 2 * LEAST_MARGIN
+            if odd[i]:
+                good = read_back(i, "".join(map(chr, tables["cp1252"][np.frombuffer(raw, np.uint8)])))
+            else:
+                high = len(raw) - len(raw.translate(None, _HIGH))
+                good = 8 * high >= len(raw.rstrip(b"\r")) and _TWO_HIGH.search(raw) is not None and _SIGNED.search(raw) is not None and raw.decode(right, "replace") == lines[i]
+            if good:
+                which.append(i)
+                bad.append(raw)
+        add(which, laid(bad, tables["cp1252"]))
+    which, bad = [], []
+    for i in whole:
+        raw = _encodes(lines[i], "iso2022_jp")
+        if raw is not None:
+            b = raw.decode("ascii").replace("\x1b", "")
+            if b != lines[i] and read_back(i, b):
+                which.append(i)
+                bad.append(b)
+    add(which, _points("\n".join(bad)))
+    return out
+
+
+#: Bytes beyond ASCII, two of them side by side, and those that stand for a sign.
+_HIGH, _TWO_HIGH, _SIGNED = bytes(range(0x80, 0x100)), re.compile(rb"[\x80-\xff]{2}"), re.compile(rb"[\x81-\xfe]")
+
+
+def _encodes(line: str, codec: str) -> bytes | None:
+    try:
+        return line.encode(codec)
+    except UnicodeEncodeError:
+        return None
+
+
+def gain_counts(texts: DataFrame, shared) -> DataFrame:
+    """(bin, n): what the right chain gains on the lines of all untraced records of ``texts``
+    (id, field, text) that are not ASCII alone, each garbled in every way, by the model that
+    ``shared`` has broadcast."""
+
+    def read(batches):
+        own, counts, below = Model(*shared.value), np.zeros(TRUE_BINS * TRUE_MOST + 1, np.int64), {}
+        for batch in batches:
+            points, rows, begins = _of_batch(batch)
+            n = len(batch)
+            maybe = _any_in_row(points >= 0x80, rows, n)
+            at = maybe[rows]
+            number = np.cumsum(maybe) - 1
+            few = traced_rows(points[at], number[rows[at]], int(maybe.sum()))
+            clean = np.flatnonzero(maybe)[~few]
+            lines: dict = {}
+            for text in batch.column(2).take(pa.array(clean)).to_pylist():
+                for line in text.split("\n"):
+                    if not line.isascii():
+                        lines[line] = lines.get(line, 0) + 1
+            times = np.array(list(lines.values()), np.int64)
+            for which, gains in true_gains(list(lines), own):
+                bins = np.floor(gains * TRUE_BINS).astype(np.int64)
+                for b, k in zip(bins[bins < 0].tolist(), times[which][bins < 0].tolist()):
+                    below[b] = below.get(b, 0) + k
+                counts += np.bincount(np.clip(bins[bins >= 0], 0, len(counts) - 1), times[which][bins >= 0], minlength=len(counts)).astype(np.int64)
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array([*below, *at.tolist()], pa.int64()), pa.array([*below.values(), *counts[at].tolist()], pa.int64())], names=["bin", "n"])
+
+    return texts.select("id", "field", "text").mapInArrow(read, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def least_true_gain(counts: dict[int, int]) -> float:
+    """The gain of all but one in a thousand of the garbled lines that are counted by bin."""
+    rank = int(0.001 * max(sum(counts.values()) - 1, 0))
+    for b in sorted(counts):
+        rank -= counts[b]
+        if rank < 0:
+            return b / TRUE_BINS
+    return 2 * LEAST_MARGIN
 
 
 #: Bins of gains per natural-log unit.
@@ -665,10 +774,8 @@ def detect(texts: DataFrame) -> DataFrame:
     stored = stored.unionByName(cut(sift(stored.filter("kind = 'maybe'"), model_of(by_bin).chars)))
     counts = stored.filter("kind in ('pair', 'char')").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()
     model = model_of(counts)
-    # A bounded sample, the first in hash order, whole records: what a right chain gains.
-    sample = stored.filter("kind = 'sample'").orderBy("bin", "text").limit(VALIDATION_RECORDS).select("text")
-    least = least_true_gain([r.text for r in sample.collect()], model)
     shared = spark.sparkContext.broadcast((model.pairs, model.chars))
+    least = least_true_gain({r.bin: r.n for r in gain_counts(texts, shared).collect()})
 
     def judge(limit, doubt):
         """Judged with the margin ``limit``; a text with a gain up to ``doubt`` goes along."""

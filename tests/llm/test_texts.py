@@ -366,3 +366,25 @@ def test_residue_of_odd_tables(spark):
     got = residue.residue_kind(df).collect()
     assert sorted((r.id, r.text is None, r.residue or "") for r in got if r.residue) == [(1, False, "error")] * 2 and len(got) == 8
     assert residue.residue_kind(df.limit(0)).count() == 0
+
+
+def test_gains_of_garbled_copies_are_those_of_candidates(model):
+    lines = ["Naïve café", "Grüße aus Köln, schöne Straße", "Ещё одна проверка текста", "これはテストです。", "ｱｲｳ と ソース", "tab\tet là", "prix: 12 €\r", "안녕하세요 여러분", "中文测试文本", "x \x85 é", "plain with one ’ only", "a\x01é", "🙂 ok"]
+    got = sorted(g for which, gains in mojibake.true_gains(lines, model) for g in gains)
+    want = []
+    for line in lines:
+        for bad in mojibake.garble(line):
+            if any(new == line for _, new in mojibake.candidates(bad)):
+                want.append(model.score(line) - model.score(bad))
+    assert len(got) == len(want) > 100
+    assert got == pytest.approx(sorted(want), abs=0.01)
+
+
+def test_margin_is_bounded_by_every_clean_record(spark, model):
+    texts = [f"été {i}\nsüß {i % 7}" for i in range(900)] + ["plain", "caf\ufffd", None]
+    rows = mojibake.fields(spark.createDataFrame([(str(i), t, None) for i, t in enumerate(texts)], "id string, content string, threadTitle string"))
+    shared = spark.sparkContext.broadcast((model.pairs, model.chars))
+    counts = {r.bin: r.n for r in mojibake.gain_counts(rows, shared).collect()}
+    ways = [len(w) for w, _ in mojibake.true_gains(["été 1", "süß 1"], model)]
+    assert sum(counts.values()) == 900 * sum(ways) > 10_000
+    assert mojibake.least_true_gain({64: 999, -3: 1}) == -3 / 64 and mojibake.least_true_gain({64: 1_000_000, -3: 5}) == 1.0 and mojibake.least_true_gain({}) > 0
