@@ -388,3 +388,33 @@ def test_margin_is_bounded_by_every_clean_record(spark, model):
     ways = [len(w) for w, _ in mojibake.true_gains(["été 1", "süß 1"], model)]
     assert sum(counts.values()) == 900 * sum(ways) > 10_000
     assert mojibake.least_true_gain({64: 999, -3: 1}) == -3 / 64 and mojibake.least_true_gain({64: 1_000_000, -3: 5}) == 1.0 and mojibake.least_true_gain({}) > 0
+
+
+def test_margin_is_bounded_by_clean_records_that_show_a_doubtful_trace(spark, model):
+    texts = ["远征归途，图书塔管理员在吊桥边把条纹披风弄丢了！", "昨日の深夜に黒帆の船長が灯台の屋上で鈴を拾った。", "été"]
+    bad = "The clerk doesn’t trust it.".encode().decode("gb18030")
+    both = [*texts, bad]
+    points, rows = mojibake._laid_out(both)
+    traced = mojibake.traced_rows(points, rows, 4) & ~mojibake.surely_traced_rows(points, rows, 4)
+    assert traced[0] or traced[1]
+    schema = "id string, field string, text string"
+    shared = spark.sparkContext.broadcast((model.pairs, model.chars))
+    counts = mojibake.clean_gains(spark.createDataFrame([(str(i), "content", t) for i, t in enumerate(both)], schema), spark.createDataFrame([("3", "content", bad)], schema), shared)
+    want = [g for _, gains in mojibake.true_gains(texts, model) for g in gains]
+    assert sum(counts.values()) == len(want) > 20
+    assert min(counts) == int(np.floor(min(want) * mojibake.TRUE_BINS))
+
+
+def test_tables_of_code_points_are_made_once_per_process_and_are_the_codecs():
+    import pickle
+
+    from pyspark import cloudpickle
+
+    assert pickle.loads(cloudpickle.dumps(mojibake.trace_flags))() is mojibake.trace_flags()
+    rng = random.Random(1)
+    for name in mojibake.MULTI:
+        first, second = mojibake.byte_tables(name)
+        for c in [0x80, 0xD7FF, 0xE000, 0xFFFD, 0xFFFF, 0x10000, 0x10FFFF, *(rng.randrange(0x80, 0xD800) for _ in range(3_000))]:
+            raw = mojibake._encodes(chr(c), name) or b"\0"
+            if name != "cp932" or c < 0x10000:
+                assert (first[c], second[c]) == (raw[0], raw[1] if len(raw) > 1 else 0), (name, hex(c))
