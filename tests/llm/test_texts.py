@@ -418,3 +418,34 @@ def test_tables_of_code_points_are_made_once_per_process_and_are_the_codecs():
             raw = mojibake._encodes(chr(c), name) or b"\0"
             if name != "cp932" or c < 0x10000:
                 assert (first[c], second[c]) == (raw[0], raw[1] if len(raw) > 1 else 0), (name, hex(c))
+
+
+def test_readings_of_lines_taken_together_are_those_of_each(model):
+    rng = random.Random(3)
+    good = ["昨日の深夜に黒帆の船長が沈んだ鐘楼で銀のコンパスを拾った。", "The naïve recruit said ‘no’ – isn’t it?", "Kurz vor fünf hat der Türmer zwei Münzen geöffnet.", "远征归途，图书塔管理员在吊桥边把条纹披风弄丢了！", "Ещё одна проверка текста"]
+    lines = [b[:i] + x + b[i:] for g in good for b in mojibake.garble(g) for x in ("", "�", "\x85", "é", "ãÐ") for i in [rng.randrange(len(b))]] + good
+    together = mojibake.repair_lines(lines, model, 4.0)
+    assert together == [mojibake.repair_line(line, model, 4.0) for line in lines] and sum(x[1] != "" for x in together) > 50
+    # One after the other, as bytes: what a run of a one-byte codec holds of UTF-8, where UTF-8 forbids none of it.
+    for line in lines:
+        for wrong in mojibake.SINGLE[1:]:
+            codecs = mojibake.Codecs.get()
+            want, at, parts = line, 0, []
+            for run in codecs.runs[wrong][0].finditer(line):
+                raw = run.group(0).translate(codecs.to_byte[wrong]).encode("latin-1")
+                for x in codecs.utf8.finditer(raw):
+                    try:
+                        new = x.group(0).decode()
+                    except UnicodeDecodeError:
+                        continue
+                    parts += [line[at : run.start() + x.start()], new]
+                    at = run.start() + x.end()
+            want = "".join(parts) + line[at:]
+            assert dict(mojibake.candidates(line)).get(f"{wrong}>utf-8", line) == want
+
+
+def test_pieces_of_a_batch_share_no_work_but_keep_their_verdicts(model):
+    bad = "Don’t ask the captain.".encode().decode("gb18030")
+    texts = ["plain", bad, "远征归途，图书塔管理员在吊桥边把条纹披风弄丢了！", f"plain\n{bad}", bad]
+    assert mojibake.readable(texts, model) == [mojibake.readable([t], model)[0] for t in texts]
+    assert mojibake.readable(texts, model)[1:] == [True, False, True, True]
