@@ -68,7 +68,8 @@ class Codecs:
             self.to_char[name] = {0xDC00 + i: table[i] for i in range(0x80, 256)}
             odd = "".join(re.escape(c) for c in m if c >= "\x80")
             # A run, and what it must hold; two patterns, so that neither looks back.
-            self.runs[name] = re.compile(f"[\\x20-\\x7e{odd}]+"), re.compile(f"[{odd}][{odd}]")
+            # A third finds what ends the last run before a place.
+            self.runs[name] = re.compile(f"[\\x20-\\x7e{odd}]+"), re.compile(f"[{odd}][{odd}]"), re.compile(f"(?s:.*)[^\\x20-\\x7e{odd}]")
         self.utf8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
         self.utf8_run = re.compile(rb"(?:(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})[\x20-\x7e]*)+")
 
@@ -76,10 +77,16 @@ class Codecs:
         # Bytes that are no UTF-8, and of them those that stand for a control character as well.
         self.escaped, self.of_two = re.compile("[\udc80-\udcff]"), re.compile("[\udc80-\udc9f]")
         self.partly = {name: codecs.getincrementaldecoder(name) for name in MULTI}
+        # Whole characters of a double-byte codec by the form of their bytes, which no byte but
+        # the first decides.
+        self.whole = {
+            "cp932": re.compile(rb"(?:[\x00-\x80\xa0-\xdf\xfd-\xff]|[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc])*+"),
+            "gb18030": re.compile(rb"(?:[\x00-\x7f]|[\x81-\xfe](?:[\x40-\x7e\x80-\xfe]|[\x30-\x39][\x81-\xfe][\x30-\x39]))*+"),
+        }
         # ISO-2022-JP whose escape characters were dropped: pairs of printable ASCII.
         self.jis_run = re.compile(r"\$[B@]((?:[!-~]{2})+?)(?:\([BJ]|$)")
         half = "[\\x20-\\x7e｡-ﾟ一-龥\ufffd\uf8f0-\uf8f3]"
-        self.half_run = re.compile(f"{half}+")
+        self.half_run, self.half_kana = re.compile(f"{half}+"), re.compile("[｡-ﾟ]")
 
     @classmethod
     def get(cls) -> "Codecs":
@@ -90,6 +97,8 @@ def _sane(s: str) -> bool:
     return not re.search("[\x00-\x08\x0b-\x1f\x7f-\x84\x86-\x9f�-͸͹]", s)
 
 
+#: All bytes of ASCII.
+_ASCII = bytes(range(0x80))
 #: Each byte with its highest bit set.
 _HIGH_BIT = bytes(b | 0x80 for b in range(256))
 
@@ -117,8 +126,15 @@ def candidates(line: str, bits: int | None = None, only: str = "") -> list[tuple
         if only not in ("", wrong) or not (bits >> (_SIDE_BY_SIDE + k) & 1 or wrong == "cp1252" and bits & (_SIGN | 1 << 6)):
             continue
         table = known.to_byte[wrong]
-        run, pair = known.runs[wrong]
-        runs = [(m.start(), m.end(), m.group(0).translate(table).encode("latin-1")) for m in run.finditer(line) if pair.search(m.group(0))]
+        run, pair, stop = known.runs[wrong]
+        # Only the runs that hold a pair are looked at.
+        runs, found = [], pair.search(line)
+        while found:
+            before = stop.match(line, runs[-1][1] if runs else 0, found.start())
+            begin = before.end() if before else runs[-1][1] if runs else 0
+            end = run.match(line, found.start()).end()
+            runs.append((begin, end, line[begin:end].translate(table).encode("latin-1")))
+            found = pair.search(line, end)
         # Sequences that are UTF-8 are replaced within the run, all else stays as it is.
         parts, at, changed = [], 0, False
         for begin, end, raw in runs:
@@ -142,7 +158,7 @@ def candidates(line: str, bits: int | None = None, only: str = "") -> list[tuple
         if wrong != "cp1252":
             continue
         # East Asian text has at least one byte in eight beyond ASCII.
-        runs = [x for x in runs if 8 * sum(b > 0x7F for b in x[2]) >= len(x[2])]
+        runs = [x for x in runs if 8 * len(x[2].translate(None, _ASCII)) >= len(x[2])]
         for right in LEGACY if runs else ():
             parts, at, changed = [], 0, False
             for begin, end, raw in runs:
@@ -162,23 +178,22 @@ def candidates(line: str, bits: int | None = None, only: str = "") -> list[tuple
             raw = line.replace("\ufffd", "\x00").encode(wrong)
         except UnicodeEncodeError:
             raw = line.replace("\ufffd", "\x00").encode(wrong, "replace")
-        parts, at, starts = [], 0, None
+        parts, at, whole = [], 0, 0
         for m in known.utf8_run.finditer(raw):
-            # A stretch must begin and end where the wrong codec's characters do; up to the
-            # first one, where they begin is known.
-            if not at:
-                if starts is None:
-                    starts = {0, *np.cumsum(byte_counts(wrong)[_points(line)[1:-1]]).tolist()}
-                if m.start() not in starts:
-                    continue
+            # A stretch must begin and end where the wrong codec's characters do. Up to
+            # ``whole`` they are told by their form from ``at`` on.
+            begin, end = m.span()
+            whole = known.whole[wrong].match(raw, whole, begin).end()
+            if whole < begin:
+                continue
             try:
-                before = raw[at : m.start()].decode(wrong)
-                known.partly[wrong]().decode(raw[m.end() : m.end() + 16])
                 new = m.group(0).decode("utf-8")
+                known.partly[wrong]().decode(raw[end : end + 16])
+                before = raw[at:begin].decode(wrong)
             except UnicodeDecodeError:
                 continue
             parts += [before, new]
-            at = m.end()
+            at = whole = end
         if at:
             try:
                 out.append((f"{wrong}>utf-8", ("".join(parts) + raw[at:].decode(wrong)).replace("\x00", "\ufffd")))
@@ -188,7 +203,7 @@ def candidates(line: str, bits: int | None = None, only: str = "") -> list[tuple
     parts, at = [], 0
     for m in known.half_run.finditer(line) if bits & _HALF and only in ("", "cp932") else ():
         # A few half-width kana are no text of another encoding.
-        if sum("｡" <= c <= "ﾟ" for c in m.group(0)) < 3:
+        if len(known.half_kana.findall(m.group(0))) < 3:
             continue
         raw = m.group(0).replace("�", "\x00").encode("cp932", "replace")
         try:
@@ -648,25 +663,19 @@ TRUE_BINS, TRUE_MOST = 64, 1_000
 
 
 class _Spelled:
-    """The characters that occur in ``points`` as bytes of an encoding, and each of their
-    sequences of steps as pairs of bytes, for a score of the text read by a one-byte codec."""
-
-    def __init__(self, points: np.ndarray, right: str):
-        there = np.zeros(0x110000, bool)
-        there[points] = True
-        codes = np.flatnonzero(there)
-        number = np.zeros(0x110000, np.int32)
-        number[codes] = np.arange(len(codes))
+    """The characters ``codes`` as bytes of an encoding and, ``on`` the number of each point
+    among them, the steps from point to point as pairs of bytes, for a score of the text read
+    by a one-byte codec."""
+
+    def __init__(self, codes: np.ndarray, right: str):
         raw = [_encodes(c, right) or b"" for c in map(chr, codes.tolist())]
-        self.at = number[points]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
         self.of = np.repeat(np.arange(len(raw)), self.sizes)
         ends = np.cumsum(self.sizes)
         has = self.sizes > 0
-        first, last = np.zeros((2, len(raw)), np.int64)
-        first[has], last[has] = self.flat[(ends - self.sizes)[has]], self.flat[ends[has] - 1]
-        self.pairs = last[self.at[:-1]] << 8 | first[self.at[1:]]
+        self.first, self.last = np.zeros((2, len(raw)), np.uint16)
+        self.first[has], self.last[has] = self.flat[(ends - self.sizes)[has]], self.flat[ends[has] - 1]
         self.high = np.bincount(self.of[self.flat >= 0x80], minlength=len(raw))
         # Whether the decoder gives the character back, and whether two high bytes, or one
         # that stands for a sign, are among its own.
@@ -674,6 +683,10 @@ class _Spelled:
         self.two_high = np.fromiter((_TWO_HIGH.search(x) is not None for x in raw), bool, len(raw))
         self.signed = np.fromiter((_SIGNED.search(x) is not None for x in raw), bool, len(raw))
 
+    def on(self, at: np.ndarray) -> "_Spelled":
+        self.at, self.pairs = at, (self.last << 8)[at[:-1]] | self.first[at[1:]]
+        return self
+
     def steps(self, model: "Model", wrong: str) -> np.ndarray:
         """As Model._steps of the text read by ``wrong``, those of a character's bytes added up."""
         table = np.array([ord(c) for c in _byte_table(wrong)], np.uint32)
@@ -720,7 +733,12 @@ def true_gains(lines: list[str], model: Model) -> list[tuple[np.ndarray, np.ndar
         return any(new == lines[i] for _, new in candidates(bad))
 
     every = np.flatnonzero(whole)
-    spelled = _Spelled(points, "utf-8")
+    number = np.zeros(0x110000, np.int32)
+    number[points] = 1
+    codes = np.flatnonzero(number)
+    number[codes] = np.arange(len(codes))
+    numbers = number[points]
+    spelled = _Spelled(codes, "utf-8").on(numbers)
     for wrong in SINGLE:
         # What is UTF-8 is found in a run wherever it stands.
         add(every, (own - per_line(spelled.steps(model, wrong)))[every])
@@ -737,18 +755,28 @@ def true_gains(lines: list[str], model: Model) -> list[tuple[np.ndarray, np.ndar
                 bad.append(b)
         add_texts(which, bad)
     table = _byte_table("cp1252")
+    sizes, filler = np.diff(np.append(begins, len(points) - 1)), count(points == 0x3164) > 0
     for right in LEGACY:
-        spelled = _Spelled(points, right)
-        at = spelled.at
-        encoded = whole & (count((spelled.sizes == 0)[at]) == 0)
-        high, size = count(spelled.high[at]), count(spelled.sizes[at]) - 1 - returns
-        two = count(spelled.two_high[at]) + np.add.reduceat((spelled.pairs & 0x8080) == 0x8080, begins, dtype=np.int64)
-        good = encoded & (8 * high >= size) & (two > 0) & (count(spelled.signed[at]) > 0) & (count(~spelled.back[at]) == 0)
+        spelled = _Spelled(codes, right)
+        encoded = whole & (count((spelled.sizes == 0)[numbers]) == 0)
+        which = np.flatnonzero(encoded)
+        if not len(which):
+            continue
+        # Only the lines that the encoding has, one after the other.
+        at = numbers[np.append(np.repeat(encoded, sizes), True)]
+        spelled.on(at)
+        starts = np.cumsum(sizes[which]) - sizes[which]
+        among = lambda a: np.add.reduceat(a[: len(at) - 1], starts, dtype=np.int64)
+        high, size = among(spelled.high[at]), among(spelled.sizes[at]) - 1 - returns[which]
+        two = among(spelled.two_high[at]) + among((spelled.pairs & 0x8080) == 0x8080)
+        good = (8 * high >= size) & (two > 0) & (among(spelled.signed[at]) > 0) & (among(~spelled.back[at]) == 0)
         # The filler of Korean is read together with what follows.
-        filled = encoded & (count(points == 0x3164) > 0) & (right == "euc_kr")
-        for i in np.flatnonzero(encoded & (odd | filled)).tolist():
-            good[i] = read_back(i, "".join(table[b] for b in _encodes(lines[i], right)))
-        add(np.flatnonzero(good), (own - per_line(spelled.steps(model, "cp1252")))[good])
+        filled = (right == "euc_kr") & filler[which]
+        for k in np.flatnonzero(odd[which] | filled).tolist():
+            i = which[k]
+            good[k] = read_back(i, "".join(table[b] for b in _encodes(lines[i], right)))
+        gains = own[which] - np.add.reduceat(spelled.steps(model, "cp1252"), starts, dtype=np.float64)
+        add(which[good], gains[good])
     # A line of plain pairs and ASCII without a sign of an escape is surely given back.
     plain = np.zeros(0x110000, bool)
     plain[points] = True

@@ -9,6 +9,7 @@ and the lengths of the pieces give the spans in the stored text, which is never
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -88,10 +89,33 @@ def _dot_kinds(soft: str) -> list[tuple[str, str]]:
 _EDGE = r"(?<![\p{L}\p{M}\p{N}])"
 
 
+def _spellings(words: list[str]) -> list[str]:
+    """The words with each accent composed or decomposed."""
+    return ["".join(x) for w in words for x in itertools.product(*(dict.fromkeys((c, unicodedata.normalize("NFD", c))) for c in w))]
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern for any of the words, by first letters."""
+    by_letter: dict[str, list[str]] = {}
+    for w in filter(None, words):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    branches = [("\\" + c if c in ".-" else c) + _tree(rest) for c, rest in sorted(by_letter.items())] + [""] * ("" in words)
+    return "(?:" + "|".join(branches) + ")" if len(branches) > 1 else "".join(branches)
+
+
 def _dots() -> str:
     """The stops of all kinds. The stop is matched first and what is around it looked at from
-    there, so that other characters cost nothing."""
-    return rf"\.(?<={_EDGE}(?:{'|'.join(word + chr(92) + '.' + follow for word, follow in _dot_kinds(''))}))"
+    there, so that other characters cost nothing; words by their length, as of most lengths
+    no word begins there, and only where none is a number asked for."""
+    kinds = _dot_kinds("")
+    words = [(_spellings(own), follow) for own, (_, follow) in zip((ALWAYS, BEFORE_NUMBER, MAYBE_LAST), kinds)]
+    behind = lambda some: rf"(?<={_EDGE}(?:{'|'.join(word + chr(92) + '.' + follow for word, follow in some)}))"
+    # Letters beyond the first plane are two characters to a look-behind: initials stand beside words of two.
+    by_length = []
+    for n in sorted({max(len(w), 2) for own, _ in words for w in own}):
+        some = [(_tree(of_n), follow) for own, follow in words if (of_n := [w for w in own if max(len(w), 2) == n])]
+        by_length.append(behind(some + kinds[3:4] * (n == 2)))
+    return rf"\.(?:(?=[^.])(?:{'|'.join(by_length)})|(?= )(?<=[\p{{N}}\p{{Cs}}]\.){behind(kinds[4:])})"
 
 
 def _dots_masked_softly(t: Column) -> Column:
@@ -115,12 +139,13 @@ def _masked(text: Column) -> Column:
     hidden = "[­͏​-‍⁠﻿]"
     # All quotation marks and brackets but the apostrophe, as few ranges.
     signs = "\"'()\\[\\]{}«»‘‚-‟‹›〈-】〔〕"
-    opening = "".join("\\" + p[0] for p in PAIRS) + "„‘\"'"
+    opening = "".join(p[0] for p in PAIRS) + "„‘\"'"
+    opens = "".join("\\" + c for c in opening)
     pair = "|".join(
         ["„[^„“”\\n]*+[“”]", *(f"\\{a}[^\\{a}\\{b}\\n]*+\\{b}" for a, b in PAIRS), '"[^"\\n]*+"']
         + [r"(?<![\p{L}\p{N}])'[^'\n]*+'(?![\p{L}\p{N}])", r"(?<![\p{L}\p{N}])‘[^‘’\n]*+’(?![\p{L}\p{N}])"]
     )
-    inside = lambda p: F.when((F.length(p) > 2) & p.rlike(f"^[{signs}]"), F.translate(p, _STOPS + " ", _MARK * len(_STOPS) + _DOT)).otherwise(p)
+    inside = lambda p: F.when((F.length(p) > 2) & F.lit(opening).contains(F.substring(p, 1, 1)), F.translate(p, _STOPS + " ", _MARK * len(_STOPS) + _DOT)).otherwise(p)
     thai = "[ก-๛]"
     steps = [
         lambda t: F.when(t.rlike(rf"[．.](?<=．|[{east}]\.)"), F.translate(F.regexp_replace(t, rf"[．.](?<=[{east}].)(?!{_I}[0-9])", "。"), "．", ".")).otherwise(t),
@@ -130,14 +155,14 @@ def _masked(text: Column) -> Column:
             F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"://\S*+|[^:]++|:"), F.lit(0)), lambda x: F.when(x.startswith("://"), F.regexp_replace(x, r"[?!](?=[A-Za-z0-9/&=%#_\-])", _MARK)).otherwise(x)), ""),
         ).otherwise(t),
         lambda t: F.when(t.rlike("[!?][ぁ-ん]"), F.regexp_replace(t, rf"[!?](?=[!?]*(?:{PARTICLES}))", _MARK)).otherwise(t),
-        # Abbreviations, wherever a stop has before and after it what one of their kinds can have.
+        # Abbreviations, wherever there is a full stop.
         lambda t: F.when(t.contains(".") & t.rlike(hidden), _dots_masked_softly(t))
-        .when(t.rlike(rf"\.(?:(?<=[\p{{L}}\p{{M}}]\.)(?=[^.])|(?<=\p{{N}}\.)(?= ))"), F.regexp_replace(t, _dots(), _DOT))
+        .when(t.contains("."), F.regexp_replace(t, _dots(), _DOT))
         .otherwise(t),
         # Quotations and brackets, wherever a stop comes after an opening sign in its line: the
         # text in pieces, those that are a pair with their stops masked.
         lambda t: F.when(
-            t.rlike(f"[{opening}][^{opening}{_STOPS}\\n]*+[{_STOPS}]|{thai}"),
+            t.rlike(f"[{opens}][^{opens}{_STOPS}\\n]*+[{_STOPS}]|{thai}"),
             F.array_join(F.transform(F.regexp_extract_all(t, F.lit(f"[^{signs}]++|{pair}|[{signs}]"), F.lit(0)), inside), ""),
         ).otherwise(t),
         # In Thai lines a blank is a stop.

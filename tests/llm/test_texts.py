@@ -1,5 +1,6 @@
 import os
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -449,3 +450,23 @@ def test_pieces_of_a_batch_share_no_work_but_keep_their_verdicts(model):
     texts = ["plain", bad, "远征归途，图书塔管理员在吊桥边把条纹披风弄丢了！", f"plain\n{bad}", bad]
     assert mojibake.readable(texts, model) == [mojibake.readable([t], model)[0] for t in texts]
     assert mojibake.readable(texts, model)[1:] == [True, False, True, True]
+
+
+def test_a_long_line_is_read_once():
+    # A stretch that is read, and then sequences that begin within a character: what lies
+    # between was once decoded anew for each of them.
+    tail = (bytes.fromhex("b0c3b0b0") * 200_000).decode("gb18030")
+    line = "中文".encode().decode("gb18030") + tail
+    began = time.process_time()
+    assert dict(mojibake.candidates(line))["gb18030>utf-8"] == "中文" + tail
+    assert time.process_time() - began < 10
+
+
+def test_stops_of_abbreviations_are_those_of_the_words_themselves(spark):
+    kinds = [sentences.ALWAYS, sentences.BEFORE_NUMBER, sentences.MAYBE_LAST, ["A", "z", "\U00010400", "am 3", "jeder 123", "3", "12", "𝟏𝟐"]]
+    words = [unicodedata.normalize(form, w) for own in kinds for w in own for form in ("NFC", "NFD")]
+    after = ["", ".", " ", " next", " Next", " 7", "7", ", and", "; x", ")", " - a", "-B", " März", "田", "\n", " März"]
+    texts = [f"{before}{w}.{a}" for w in words for before in ("", "so ", "x", "(", "4", "1,") for a in after]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.regexp_replace(t, sentences._dots(), sentences._DOT).alias("a"), sentences._dots_masked_softly(t).alias("b")).collect()
+    assert [r.t for r in rows if r.a != r.b] == [] and sum(r.a != r.t for r in rows) > 2_000
