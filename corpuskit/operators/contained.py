@@ -51,7 +51,7 @@ def _slot(prints: np.ndarray) -> np.ndarray:
     return ((prints ^ (prints >> np.uint64(31))) * np.uint64(_ODD)) >> np.uint64(42)
 
 
-def _chunks(lengths: np.ndarray, most: int):
+def chunks(lengths: np.ndarray, most: int):
     """Ranges of rows of at most ``most`` in sum, one row at least."""
     ends, at = np.cumsum(lengths), 0
     while at < len(lengths):
@@ -66,7 +66,7 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = batch.column(0).to_pylist()
-            for a, b in _chunks(np.array([len(t) for t in rows]), CHARS):
+            for a, b in chunks(np.array([len(t) for t in rows]), CHARS):
                 n = np.array([len(t) for t in rows[a:b]], np.int64)
                 window, at = _windows("".join(rows[a:b])), np.cumsum(n) - n
                 columns = n, *(window(at, k).view(np.int64) for k in (np.full(len(n), SHORTEST), _head(n))), _whole(window(at, n), n).view(np.int64)
@@ -108,7 +108,7 @@ def _hits(block: dict, table: np.ndarray, text: str, left: np.ndarray):
         place, known = _among(window(fits, k), heads)
         fits, place = fits[known], place[known]
         many = first[place + 1] - first[place]
-        for a, b in _chunks(many, WINDOWS):
+        for a, b in chunks(many, WINDOWS):
             m = many[a:b]
             own = np.repeat(fits[a:b], m)
             n = lengths[np.repeat(first[place[a:b]] - (np.cumsum(m) - m), m) + np.arange(len(own))]
@@ -134,7 +134,7 @@ def holders(rows: DataFrame, prints: pa.Table, k: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _chunks(np.array([len(t) for t in texts]), CHARS):
+            for a, b in chunks(np.array([len(t) for t in texts]), CHARS):
                 text, ends = "".join(texts[a:b]), np.cumsum([len(t) for t in texts[a:b]])
                 of = np.repeat(np.arange(a, b), np.diff(ends, prepend=0))
                 for places, lengths in _hits(block, table, text, ends[of - a] - np.arange(len(of))):
